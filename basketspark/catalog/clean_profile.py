@@ -282,9 +282,8 @@ def _round_trip(s, d):
 _add("inverse_scale", _round_trip, with_profile(f"SELECT {_pick(RFM, 2)} FROM profile"))
 _add(
     "cluster_input",
-    lambda s, d: features.standard_scale(
-        profile.customer_profile(lines(s, d)).select("customer_id", "tot_items", "monetary", "mean_item_sale"),
-        ["tot_items", "monetary", "mean_item_sale"],
+    lambda s, d: features.cluster_input(
+        profile.customer_profile(lines(s, d)), ["tot_items", "monetary", "mean_item_sale"]
     ).select(
         "customer_id", *[features.rnd(c, 4).alias(c) for c in ("tot_items", "monetary", "mean_item_sale")]
     ),

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MICROS_PER_DAY = 86_400_000_000
-
 
 def rnd(x: Column | str, digits: int) -> Column:
     """Half-up rounding on doubles that every engine evaluates to the same bits."""
@@ -18,8 +16,8 @@ def rnd(x: Column | str, digits: int) -> Column:
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
-    """Complete 24-hour periods between two timestamps."""
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(MICROS_PER_DAY)).cast("long")
+    """Complete 24-hour periods between two timestamps, the later one first."""
+    return F.extract(F.lit("DAY"), later - earlier).cast("long")
 
 
 def entropy(df: DataFrame, keys: Sequence[str], weight: str, out: str) -> DataFrame:

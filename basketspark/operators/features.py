@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_quantiles, number_rows, one_row, rnd
+from ..functions import exact_quantiles, number_rows, one_row, rnd, stable
 
 
 def qcut_edges(df: DataFrame, col: str, q: int) -> Column:
@@ -87,6 +87,17 @@ def inverse_scale(
     return df.withColumn("_p", one_row(params)).withColumns(back).drop("_p")
 
 
+def cluster_input(
+    profile: DataFrame,
+    cols: Sequence[str] = ("recency", "frequency", "monetary"),
+    scaling: str = "standard",
+    key: str = "customer_id",
+) -> DataFrame:
+    """Key and scaled attributes, written once because a clustering study reads them many times."""
+    scale = {"standard": standard_scale, "min_max": min_max_scale}[scaling]
+    return stable(scale(profile.select(key, *cols), cols))
+
+
 def unit_hash(seed: int, *parts: Column) -> Column:
     """Reproducible number in [0, 1) from the first 32 bits of an MD5 sum."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])

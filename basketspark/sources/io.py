@@ -15,7 +15,7 @@ def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("sep", "\t").option("header", True).csv(path)
     return df.select(
         F.col("BasketID").alias("basket_id"),
-        F.to_timestamp("BasketDate").alias("basket_ts"),
+        F.to_timestamp_ntz(F.col("BasketDate")).alias("basket_ts"),
         F.col("Sale").alias("sale"),
         F.col("CustomerID").cast("double").alias("customer_id"),
         F.col("CustomerCountry").alias("country"),

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 RAW_LINES = T.StructType(
     [
         T.StructField("basket_id", T.StringType()),
-        T.StructField("basket_ts", T.TimestampType()),
+        T.StructField("basket_ts", T.TimestampNTZType()),
         T.StructField("sale", T.StringType()),
         T.StructField("customer_id", T.DoubleType()),
         T.StructField("country", T.StringType()),
@@ -18,7 +18,7 @@ RAW_LINES = T.StructType(
 LINES = T.StructType(
     [
         T.StructField("basket_id", T.StringType()),
-        T.StructField("basket_ts", T.TimestampType()),
+        T.StructField("basket_ts", T.TimestampNTZType()),
         T.StructField("sale", T.StringType()),
         T.StructField("customer_id", T.DoubleType()),
         T.StructField("country", T.StringType()),
@@ -47,7 +47,7 @@ LINES = T.StructType(
         T.StructField("prod_descr", T.StringType()),
         T.StructField("sale", T.DecimalType(18, 4)),
         T.StructField("qta", T.LongType()),
-        T.StructField("purchase_ts", T.TimestampType()),
+        T.StructField("purchase_ts", T.TimestampNTZType()),
         T.StructField("customer_id", T.LongType()),
         T.StructField("country", T.StringType()),
     ]
