@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("describe_tables", "clean_profile", "segments")
+_MODULES = ("describe_tables", "clean_profile", "segments", "sequences")
 
 
 def _collect(attr: str) -> dict:

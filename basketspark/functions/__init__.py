@@ -1,9 +1,10 @@
 from .numeric import entropy, one_row, rnd, whole_days
-from .ordered import by_group_size, number_rows, scan, with_blocks
+from .ordered import MAX_GROUP_ROWS, by_group_size, number_rows, scan, with_blocks
 from .quantiles import exact_quantiles
 from .session import ensure_checkpoint_dir, stable
 
 __all__ = [
+    "MAX_GROUP_ROWS",
     "by_group_size",
     "ensure_checkpoint_dir",
     "entropy",
