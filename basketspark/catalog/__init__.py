@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("describe_tables", "clean_profile", "segments", "sequences")
+_MODULES = ("describe_tables", "clean_profile", "segments", "sequences", "spending")
 
 
 def _collect(attr: str) -> dict:
@@ -20,3 +20,8 @@ def all_queries() -> dict:
 
 def all_oracles() -> dict:
     return _collect("ORACLE")
+
+
+QUERY_MODULE = {
+    name: module for module in _MODULES for name in import_module(f"{__name__}.{module}").QUERIES
+}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, features, profile
 from ..sources.io import bought
-from ..sources.retail import lines, raw_lines, table
+from ..sources.retail import lines, stored_lines, raw_lines, table
 from .base import inner_edges, rnd, with_lines, with_profile
 
 QUERIES = {}
@@ -196,10 +196,10 @@ _PARTS = {
     "customer_profile": (profile.customer_profile, "*"),
 }
 for _n, (_fn, _cols) in _PARTS.items():
-    _add(_n, lambda s, d, fn=_fn: fn(lines(s, d)), with_profile(f"SELECT {_cols} FROM profile"))
+    _add(_n, lambda s, d, fn=_fn: fn(stored_lines(s, d)), with_profile(f"SELECT {_cols} FROM profile"))
 _add(
     "profile_returns",
-    lambda s, d: profile.customer_profile(lines(s, d)).select("customer_id", "p_return"),
+    lambda s, d: profile.customer_profile(stored_lines(s, d)).select("customer_id", "p_return"),
     with_profile("SELECT customer_id, p_return FROM profile"),
 )
 
@@ -283,7 +283,7 @@ _add("inverse_scale", _round_trip, with_profile(f"SELECT {_pick(RFM, 2)} FROM pr
 _add(
     "cluster_input",
     lambda s, d: features.cluster_input(
-        profile.customer_profile(lines(s, d)), ["tot_items", "monetary", "mean_item_sale"]
+        profile.customer_profile(stored_lines(s, d)), ["tot_items", "monetary", "mean_item_sale"]
     ).select(
         "customer_id", *[features.rnd(c, 4).alias(c) for c in ("tot_items", "monetary", "mean_item_sale")]
     ),

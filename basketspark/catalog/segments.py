@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rnd as rnd_col
 from ..operators import features, profile
 from ..operators.clustering import density, metrics, partition
-from ..sources.retail import lines
+from ..sources.retail import lines, stored_lines
 from .base import rnd, with_profile
 from .clean_profile import RFM, min_max_sql
 
@@ -182,7 +182,7 @@ _add(
 
 
 def _with_clusters(s, d):
-    return profile.customer_profile(lines(s, d)).join(_lloyd(s, d).select("customer_id", "cluster"), "customer_id")
+    return profile.customer_profile(stored_lines(s, d)).join(_lloyd(s, d).select("customer_id", "cluster"), "customer_id")
 
 
 _add(

@@ -124,8 +124,8 @@ SELECT pattern_text, CAST(n_items AS INT) AS n_items, CAST(n_elements AS INT) AS
 )
 for _name, _kw, _cond in (
     ("min_gap", {"min_gap": timedelta(days=60)}, "t2 - t1 >= INTERVAL 60 DAY"),
-    ("max_gap", {"max_gap": timedelta(days=500)}, "t2 - t1 <= INTERVAL 500 DAY"),
-    ("max_span", {"max_span": timedelta(days=400)}, "t2 - t1 <= INTERVAL 400 DAY"),
+    ("max_gap", {"max_gap": timedelta(days=1600)}, "t2 - t1 <= INTERVAL 1600 DAY"),
+    ("max_span", {"max_span": timedelta(days=1500)}, "t2 - t1 <= INTERVAL 1500 DAY"),
 ):
     _add(
         f"gsp_{_name}",
@@ -282,8 +282,8 @@ def _sweep(s, d, param, days):
 
 for _param, _days, _expr in (
     ("min_gap", list(range(33, -1, -3)), "t2 - t1 >= v * INTERVAL 1 DAY"),
-    ("max_gap", [7 * w for w in range(16, 73, 4)], "t2 - t1 <= v * INTERVAL 1 DAY"),
-    ("max_span", [7 * w for w in range(16, 93, 4)], "t2 - t1 <= v * INTERVAL 1 DAY"),
+    ("max_gap", [7 * w for w in range(40, 280, 20)], "t2 - t1 <= v * INTERVAL 1 DAY"),
+    ("max_span", [7 * w for w in range(40, 320, 20)], "t2 - t1 <= v * INTERVAL 1 DAY"),
 ):
     _add(
         f"constraint_sweep_{_param}",

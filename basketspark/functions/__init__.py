@@ -1,5 +1,5 @@
 from .numeric import entropy, one_row, rnd, whole_days
-from .ordered import MAX_GROUP_ROWS, by_group_size, number_rows, scan, with_blocks
+from .ordered import MAX_GROUP_ROWS, by_group_size, number_rows, prepared, scan, with_blocks
 from .quantiles import exact_quantiles
 from .session import ensure_checkpoint_dir, stable
 
@@ -11,6 +11,7 @@ __all__ = [
     "exact_quantiles",
     "number_rows",
     "one_row",
+    "prepared",
     "rnd",
     "scan",
     "stable",

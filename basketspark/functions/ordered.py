@@ -86,7 +86,15 @@ def by_group_size(
     return light_out.unionByName(heavy_out)
 
 
+def prepared(df: DataFrame, by: Sequence[str], order: Sequence[str], max_rows: int | None = None) -> DataFrame:
+    """``df`` written out, cut into blocks only if it is too long for one task per group."""
+    settled = stable(df)
+    if settled.count() <= (max_rows or MAX_GROUP_ROWS):
+        return settled
+    return with_blocks(settled, by, order)
+
+
 def number_rows(df: DataFrame, order: Sequence[str], out: str, by: Sequence[str] = ()) -> DataFrame:
     """Zero-based position in ``order`` (unique), overall or within a few large groups."""
-    b = with_blocks(df.withColumn("_one", F.lit(1).cast("long")), by, order)
+    b = prepared(df.withColumn("_one", F.lit(1).cast("long")), by, order)
     return scan(b, by, order, {out: ("sum", "_one")}, exclusive=True).drop("_one", BLOCK)

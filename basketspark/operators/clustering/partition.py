@@ -24,15 +24,19 @@ from .metrics import davies_bouldin, inertia, silhouette
 Centres = Sequence[Sequence[float]]
 
 
-def _sq(cols: Sequence[str], centre: Sequence[float]) -> Column:
-    parts = [(F.col(c) - F.lit(float(m))) * (F.col(c) - F.lit(float(m))) for c, m in zip(cols, centre)]
-    return sum(parts[1:], parts[0])
+def _sq(cols: Sequence[str], centre: Sequence[float]) -> str:
+    """SQL text of the squared distance to a centre: with hundreds of terms, text is quick to build."""
+    return " + ".join(f"(`{c}` - ({float(m)!r}D)) * (`{c}` - ({float(m)!r}D))" for c, m in zip(cols, centre))
+
+
+def _distances(cols: Sequence[str], centres: Centres) -> str:
+    return f"array({', '.join(_sq(cols, m) for m in centres)})"
 
 
 def nearest_centre(cols: Sequence[str], centres: Centres) -> Column:
     """Position of the closest centre, the first one on ties."""
-    d = F.array(*[_sq(cols, m) for m in centres])
-    return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    d = _distances(cols, centres)
+    return F.expr(f"cast(array_position({d}, array_min({d})) - 1 AS int)")
 
 
 def vectors(df: DataFrame, cols: Sequence[str], key: str = "customer_id") -> DataFrame:
@@ -177,10 +181,10 @@ def xmeans(df: DataFrame, cols: Sequence[str], k_max: int = 100, steps: int = 8,
             child[i] = (mean - spread, mean + spread)
 
         def side() -> Column:
-            expr = F.lit(None)
-            for i, (a, b) in child.items():
-                expr = F.when(F.col("c") == i, (_sq(cols, b) < _sq(cols, a)).cast("int")).otherwise(expr)
-            return expr
+            cases = " ".join(
+                f"WHEN c = {i} THEN cast({_sq(cols, b)} < {_sq(cols, a)} AS int)" for i, (a, b) in child.items()
+            )
+            return F.expr(f"CASE {cases} END")
 
         rows = []
         for _ in range(steps):
@@ -236,7 +240,7 @@ def farthest_start(df: DataFrame, cols: Sequence[str], k: int, key: str = "custo
         if not centres:
             pick = F.min(F.struct(F.col(key).alias("o"), at.alias("at")))
         else:
-            gap = F.array_min(F.array(*[_sq(cols, m) for m in centres]))
+            gap = F.expr(f"array_min({_distances(cols, centres)})")
             pick = F.min(F.struct((-gap).alias("g"), F.col(key).alias("o"), at.alias("at")))
         row = df.agg(pick.alias("p")).first()["p"]["at"]
         centres.append([float(row[c]) for c in cols])
@@ -245,15 +249,16 @@ def farthest_start(df: DataFrame, cols: Sequence[str], k: int, key: str = "custo
 
 def _memberships(cols: Sequence[str], centres: Centres, m: float) -> Column:
     """Array of membership degrees; a point on a centre belongs to it alone."""
-    d = F.array(*[_sq(cols, c) for c in centres])
-    power = 1.0 / (m - 1.0)
-    on_centre = F.transform(d, lambda x: F.when(x == 0, 1.0).otherwise(0.0))
-    hits = F.aggregate(on_centre, F.lit(0.0), lambda acc, v: acc + v)
+    d = _distances(cols, centres)
+    power = f"{1.0 / (m - 1.0)!r}D"
+    total = "aggregate({}, 0.0D, (acc, v) -> acc + v)"
+    on_centre = f"transform({d}, x -> if(x = 0, 1.0D, 0.0D))"
     # division by zero is an error in ANSI mode, so the regular branch never sees a zero distance
-    safe = F.transform(d, lambda x: F.pow(F.lit(1.0) / F.when(x == 0, 1.0).otherwise(x), F.lit(power)))
-    safe_total = F.aggregate(safe, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.array_min(d) == 0, F.transform(on_centre, lambda v: v / hits)).otherwise(
-        F.transform(safe, lambda v: v / safe_total)
+    inverse = f"transform({d}, x -> pow(1.0D / if(x = 0, 1.0D, x), {power}))"
+    shares = "transform({0}, v -> v / {1})"
+    return F.expr(
+        f"if(array_min({d}) = 0, {shares.format(on_centre, total.format(on_centre))}, "
+        f"{shares.format(inverse, total.format(inverse))})"
     )
 
 
@@ -276,8 +281,8 @@ def fuzzy_cmeans(
         u = df.withColumn("u", _memberships(cols, centres, m))
         aggs = []
         for j in range(len(centres)):
-            w = F.pow(F.col("u")[j], F.lit(float(m)))
-            aggs += [rnd(F.sum(w * F.col(c)) / F.sum(w), digits).alias(f"c{j}_{c}") for c in cols]
+            w = f"pow(u[{j}], {float(m)!r}D)"
+            aggs += [rnd(F.expr(f"sum({w} * `{c}`) / sum({w})"), digits).alias(f"c{j}_{c}") for c in cols]
         row = u.agg(*aggs).first()
         new = [[row[f"c{j}_{c}"] for c in cols] for j in range(len(centres))]
         shift = max(abs(a - b) for x, y in zip(new, centres) for a, b in zip(x, y))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stable
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -46,6 +48,11 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines written out once, for work that reads them several times."""
+    return stable(lines(spark, folder))
+
+
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The same lines in export form: text price with a decimal comma, ``C`` before cancelled baskets,
     product id and description in mixed case."""

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from basketspark.catalog import all_oracles, all_queries  # noqa: E402
+from basketspark.catalog import QUERY_MODULE, all_oracles, all_queries  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -29,7 +29,7 @@ def session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -71,14 +71,14 @@ def main() -> None:
     oracles = all_oracles()
     failed = 0
     for name, fn in all_queries().items():
-        if wanted and not any(name.startswith(w) for w in wanted):
+        if wanted and not any(name.startswith(w) or w == QUERY_MODULE[name] for w in wanted):
             continue
         t0 = time.time()
         try:
             got = fn(spark, sf).toPandas()
         except Exception as e:  # noqa: BLE001
             failed += 1
-            print(f"FAIL {name}: {str(e)[:1500]}", flush=True)
+            print(f"FAIL {name}: {str(e).strip()[:700]}", flush=True)
             continue
         t1 = time.time()
         if name not in oracles:
@@ -88,7 +88,7 @@ def main() -> None:
             want = con.execute(oracles[name]).df()
         except Exception as e:  # noqa: BLE001
             failed += 1
-            print(f"FAIL {name} sql: {str(e)[:1500]}", flush=True)
+            print(f"FAIL {name} sql: {str(e).strip()[:700]}", flush=True)
             continue
         msg = compare(got, want)
         failed += bool(msg)
