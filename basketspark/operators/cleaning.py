@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import by_group_size, exact_quantiles, one_row, scan
+from ..functions import by_group_size, exact_quantiles, one_row, scan, stable
 
 # fixed values: stock-adjustment descriptions that are not products (exact, case-sensitive)
 DENIED_DESCRIPTIONS = (
@@ -291,6 +291,7 @@ def clean(
         .transform(basket_to_long)
         .transform(canonical_description)
         .transform(merge_lines)
+        .transform(stable)  # group sizes are looked at before the running totals
         .transform(lambda d: drop_unmatched_returns(d, max_group_rows=max_group_rows))
         .transform(lambda d: trim_lines(d, limits.qta_low, limits.qta_high, limits.sale_below))
         .transform(lambda d: trim_baskets(d, limits.basket_above, limits.basket_below))

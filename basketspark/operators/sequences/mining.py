@@ -168,7 +168,7 @@ def match_patterns(
         done = states.join(pats.where(F.size("pattern") == n), "pattern", "left_semi")
         out = done if out is None else out.unionByName(done)
     if out is None:
-        raise ValueError("no patterns to match")
+        out = _advance(pats, None, occ, limits, max_rows, hot)
     return out.select("pattern", "seq_id", "places", "times")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import stable
 
-LEAF_ROWS = 2048
+LEAF_ROWS = 1024
 MAX_LEAVES = 40_000
 QUERIES_PER_TASK = 20_000
 _FAN_OUT = 8
@@ -239,24 +239,20 @@ def knn(
     types = dict(queries.dtypes)[query_key], dict(points.dtypes)[key]
 
     def nearest(q: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
-        pts = pts.sort_values(key)
         px, ids = pts[cols].to_numpy(dtype=float), pts[key].to_numpy()
         out = []
         step = max(1, _CELLS // max(1, len(px)))
         for s in range(0, len(q), step):
             part = q.iloc[s : s + step]
+            if not len(px):
+                break
             d = distances(part[cols].to_numpy(dtype=float), px, p)
-            best = d.argsort(axis=1, kind="stable")[:, :k]
-            n = best.shape[1]
-            out.append(
-                pd.DataFrame(
-                    {
-                        query_key: np.repeat(part[query_key].to_numpy(), n),
-                        key: ids[best.ravel()],
-                        "dist": np.take_along_axis(d, best, 1).ravel(),
-                    }
-                )
-            )
+            limit = np.partition(d, min(k, len(px)) - 1, axis=1)[:, min(k, len(px)) - 1]
+            qi, pi = np.nonzero(d <= limit[:, None])
+            near = pd.DataFrame({"qi": qi, key: ids[pi], "dist": d[qi, pi]}).sort_values(["qi", "dist", key])
+            near = near[near.groupby("qi").cumcount() < k]
+            near[query_key] = part[query_key].to_numpy()[near["qi"]]
+            out.append(near[[query_key, key, "dist"]])
         return pd.concat(out) if out else pd.DataFrame({query_key: [], key: [], "dist": []})
 
     found = meet(routed, index.points, nearest, f"{query_key} {types[0]}, {key} {types[1]}, dist double")
