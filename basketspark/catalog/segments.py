@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rnd as rnd_col
 from ..operators import features, profile
-from ..operators.clustering import density, metrics, partition
+from ..operators.clustering import density, linkage, metrics, partition
 from ..sources.retail import lines, stored_lines
 from .base import rnd, with_profile
 from .clean_profile import RFM, min_max_sql
@@ -282,6 +282,25 @@ _add(
     ),
 )
 
+# ---- hierarchies: SQL would need every pair of clusters at every merge, so tests compare with a plain loop ----
+
+
+def _linkage_cut(s, d, method, metric, height):
+    pts = _scaled(s, d)
+    return linkage.cut(linkage.linkage(pts, RFM, method, metric), pts, height)
+
+
+_add("complete_linkage_cut", lambda s, d: _linkage_cut(s, d, "complete", "euclidean", 0.8))
+_add("average_linkage_cut", lambda s, d: _linkage_cut(s, d, "average", "manhattan", 0.5))
+_add(
+    "complete_linkage_last_merges",
+    lambda s, d: linkage.last_merges(linkage.linkage(_scaled(s, d), RFM), 30),
+)
+_add(
+    "single_linkage_tree",
+    lambda s, d: linkage.single_linkage_tree(_scaled(s, d), RFM).select(rnd_col("height", 8).alias("height")),
+)
+
 # ---- seeded algorithms ----------------------------------------------------------------------------
 
 
