@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rnd as rnd_col
 from ..operators import features, profile
-from ..operators.clustering import density, metrics, partition
+from ..operators.clustering import density, linkage, metrics, partition
 from ..sources.retail import lines, stored_lines
 from .base import rnd, with_profile
 from .clean_profile import RFM, min_max_sql
@@ -282,6 +282,9 @@ _add(
     ),
 )
 
+# SQL would need every pair of components in every round; the tests compare with a plain loop
+_add("single_linkage_tree", lambda s, d: linkage.single_linkage_tree(_scaled(s, d), RFM))
+
 # ---- seeded algorithms ----------------------------------------------------------------------------
 
 
