@@ -125,7 +125,8 @@ def mix_sources(
 
     The rates of :func:`balance` are rounded to whole copies. Each document's fraction competes with a number that
     its id decides: a source takes one copy more of its documents in that order while they fit into the target, and
-    goes through the order ``SWEEPS`` times, each time with the documents that still fit. Where to stop is found on
+    goes through the order again with the documents that still fit, the last of ``SWEEPS`` times also with those that
+    have got theirs but are below the cap. Where to stop is found on
     sums over bins of the key, level by level, so a source of any length is never sorted or gathered. Texts are never shuffled or stored: sizes and ids decide, and the last pass
     applies the numbers of each source to the rows as they are read. Reruns give the same copies.
 
@@ -146,15 +147,16 @@ def mix_sources(
     floors = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("base") * F.col("size"))).alias("room"))
     cuts = floors.select("source", "room", F.array().cast("array<struct<key:bigint,size:double>>").alias("cuts"))
     cuts = stable(cuts)
-    open_rows = rated.where(F.col("base") < cap).select("source", "size", "key")
-    for _ in range(SWEEPS):
+    open_rows = rated.where(F.col("base") < cap).select("source", "size", "key", "base")
+    for sweep in range(SWEEPS):
         # who comes next among those that still fit: two levels of bins of the key, then a new cut
+        had = F.col("base") if sweep == SWEEPS - 1 else F.lit(cap - 1)
         lines = cuts.withColumns({"line": F.lit(0).cast("long"), "limit": F.col("room")})
         for level in (1, 0):
             width = 1 << (FINE * level)
             near = open_rows.alias("d").join(small(lines).alias("s"), same)
             near = near.where((F.col("key") >= F.col("line")) & (F.col("key") < F.col("line") + (width << FINE)))
-            near = near.where(~_taken() & (F.col("size") <= F.col("limit")))
+            near = near.where((had + _taken(1, SWEEPS - 1) < cap) & (F.col("size") <= F.col("limit")))
             bins = near.groupBy(F.col("d.source").alias("source"), "room", F.expr(f"(key - line) div {width}").alias("bin"))
             bins = bins.agg(F.sum("size").alias("words"))
             bins = bins.withColumn("run", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
@@ -174,14 +176,16 @@ def mix_sources(
                       size.alias("size"), draw.alias("draw"))
     out = own.alias("d").join(small(known).alias("s"), same).select("row", "size", "source_size", "target", "cuts",
                                                                     *_rounding(cap))
-    copies = F.col("base") + F.when((F.col("base") < cap) & _taken(), 1).otherwise(0)
-    out = out.withColumn("copies", copies)
+    once = F.col("base") + F.when(F.col("base") < cap, _taken(1, SWEEPS - 1)).otherwise(0)
+    out = out.withColumn("copies", once)
+    out = out.withColumn("copies", F.col("copies") + F.when(F.col("copies") < cap, _taken(SWEEPS, 1)).otherwise(0))
     return out.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _taken() -> Column:
-    """Whether a document lies before one of the cuts made so far among the documents small enough for it."""
-    return F.exists("cuts", lambda c: (F.col("key") < c["key"]) & (F.col("size") <= c["size"]))
+def _taken(first: int, n: int) -> Column:
+    """1 if a document lies before one of ``n`` cuts from the ``first`` on among the documents small enough, else 0."""
+    cuts = F.slice("cuts", first, n)
+    return F.exists(cuts, lambda c: (F.col("key") < c["key"]) & (F.col("size") <= c["size"])).cast("long")
 
 
 def _rounding(cap: int) -> list[Column]:
