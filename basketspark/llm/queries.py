@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import chat_digest, format_chats
+from .decontaminate import contaminated
+from .html_text import extract_text
+from .language import held_out, learn_languages, predict_languages
+from .licences import scan_licences
 from .line_rules import line_quality
 from .mixing import mix_sources
 from .near_dedup import near_groups
+from .quality_model import learn_quality, score_quality
 from .sharding import byte_shards
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +25,10 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_table(spark, folder, "documents"))
 
 
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(_table(spark, folder, "documents"))
+
+
 def mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -28,6 +38,39 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality(_table(spark, folder, "documents"))
 
 
+def chats(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digest(format_chats(turns.unionByName(own)))
+
+
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(_table(spark, folder, "pages"))
+
+
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    apart = held_out("doc_id", 3, 1)
+    scored = score_quality(docs, learn_quality(docs, labels.where(~apart)))
+    return scored.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    predicted = predict_languages(docs, learn_languages(docs.where(~held_out())))
+    return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = byte_shards(_table(spark, folder, "documents"), 40, carry=["doc_id"])
     return placed.select(
@@ -37,8 +80,14 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": near,
+    "op2_licence_scan": licence_scan,
     "op3_mixing": mixing,
     "op4_quality_rules": quality_rules,
+    "op5_chat_formatting": chats,
+    "op6_html_extraction": main_texts,
+    "op7_decontamination": decontamination,
+    "op8_quality_classifier": quality,
     "op9_sharding": sharding,
+    "op10_language_id": language,
 }
 ORACLE: dict[str, str] = {}

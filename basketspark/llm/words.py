@@ -34,7 +34,7 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """Words of a slice: document ``i`` of it owns words ``first[i]`` to ``first[i + 1]``."""
+    """Words of a slice: its text ``i`` owns words ``first[i]`` to ``first[i + 1]``, bytes ``edge[i]`` to ``edge[i + 1]``."""
 
     rows: range
     data: np.ndarray
@@ -42,21 +42,22 @@ class Words(NamedTuple):
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    edge: np.ndarray
 
 
 class Splitter:
-    """Cuts texts into words: runs of bytes that are word bytes. ASCII letters are folded to lower case."""
-
-    def __init__(self, marks: bool = True, fold: bool = True):
-        """``marks``: everything but ASCII white space is a word byte; else letters, digits and non-ASCII bytes."""
-        table = np.ones(256, bool)
-        if marks:
-            table[list(WHITE)] = False
-        else:
-            table[:128] = False
+    """Cuts texts into words: runs of bytes of one kind. ``fold`` turns ASCII letters into lower case."""
+
+    def __init__(self, kinds: str = "white", fold: bool = True):
+        """``kinds``: "white" cuts at ASCII white space only; "letters" takes runs of letters, digits and non-ASCII
+        bytes and skips the rest; "both" takes these runs and also the runs of other marks between them."""
+        table = np.ones(256, np.uint8)
+        if kinds != "white":
+            table[:128] = 2 if kinds == "both" else 0
             for low, high in ((48, 58), (65, 91), (97, 123)):
-                table[low:high] = True
-        self.word = table
+                table[low:high] = 1
+        table[list(WHITE)] = 0
+        self.kind = table
         self.low = np.arange(256, dtype=np.uint8)
         if fold:
             self.low[65:91] += 32
@@ -86,8 +87,8 @@ class Splitter:
             lo = hi
         return mix(out)
 
-    def slices(self, texts: pa.Array) -> Iterator[Words]:
-        """Every text of the array, in order; a null has no words."""
+    def slices(self, texts: pa.Array, size: int = SLICE) -> Iterator[Words]:
+        """Every text of the array, in order, in slices of about ``size`` bytes; a null has no words."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -96,16 +97,16 @@ class Splitter:
         whole = np.frombuffer(content, np.uint8) if content is not None else np.zeros(0, np.uint8)
         lo = 0
         while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
             data, edges = whole[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-            inside = np.zeros(len(data) + 2, bool)
-            inside[1:-1] = self.word[data]
-            opens, closes = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-            cut = edges[(edges > 0) & (edges < len(data))]  # words end where their text ends
-            opens[cut] = inside[1:-1][cut]
-            closes[cut - 1] = inside[1:-1][cut - 1]
+            kind = np.zeros(len(data) + 2, np.uint8)
+            kind[1:-1] = self.kind[data]
+            inside, change = kind[1:-1] > 0, kind[1:] != kind[:-1]
+            change[edges] = True  # words end where their text ends
+            opens, closes = inside & change[:-1], inside & change[1:]
             start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-            yield Words(range(lo, hi), data, start, end, np.searchsorted(start, edges), self._hash(data, start, end))
+            hashes = self._hash(data, start, end)
+            yield Words(range(lo, hi), data, start, end, np.searchsorted(start, edges), hashes, edges)
             lo = hi
 
 
