@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stable
 from .words import Splitter, Words
@@ -229,13 +230,13 @@ def learn_languages(
     return pieces, langs, prob, prior
 
 
-def _predict(pieces: list[bytes], langs: list[str], prob: np.ndarray, prior: np.ndarray):
+def _predict(text_col: str, pieces: list[bytes], langs: list[str], prob: np.ndarray, prior: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, split = Lattice(pieces), Splitter("letters")
         use = scaled(lattice, prob)
         known, value = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(text_col)
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             for w in split.slices(texts, SLICE) if langs else ():
@@ -264,24 +265,24 @@ def _predict(pieces: list[bytes], langs: list[str], prob: np.ndarray, prior: np.
                 for i, row in enumerate(w.rows):
                     if letter[row]:
                         lang[row], score[row] = langs[best[i]], post[i, best[i]]
-            cols = [batch.column(0), pa.array(lang, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score"])
+            cols = [*batch.columns, pa.array(lang, pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score"])
 
     return run
 
 
 def predict_languages(
-    docs: DataFrame, model: tuple[list[bytes], list[str], np.ndarray, np.ndarray],
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """(doc_id, lang_pred, score) per row of ``docs``; the score is the posterior probability of the prediction.
+    docs: DataFrame, model: tuple[list[bytes], list[str], np.ndarray, np.ndarray], text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the posterior probability of the prediction.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Repeated rows get the same
-    result; null ids are carried; other columns are ignored. Words are runs of letters, digits and non-ASCII bytes;
-    ones beyond ``SPAN`` bytes are scored span by span.
+    result; columns of ``docs`` that are called like a new one are replaced. Words are runs of letters, digits and
+    non-ASCII bytes; ones beyond ``SPAN`` bytes are scored span by span. Nothing is shuffled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(*model), "doc_id long, lang_pred string, score double")
+    rows = docs.drop("lang_pred", "score")
+    kinds = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(text_col, *model), kinds)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

@@ -67,7 +67,8 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    predicted = predict_languages(docs, learn_languages(docs.where(~held_out())))
+    model = learn_languages(docs.where(~held_out()))
+    predicted = predict_languages(docs.select("doc_id", "text"), model)
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -90,4 +91,42 @@ QUERIES = {
     "op9_sharding": sharding,
     "op10_language_id": language,
 }
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HAS_WORD = "regexp_matches({}, '[^\\x20\\x09-\\x0D]')"
+
+ORACLE: dict[str, str] = {
+    # every pair of documents that share a shingle
+    "op1_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("text", _LOWER, 1)} AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END)) AS i FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.o),
+c AS (SELECT d, min(o) AS c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = doc_id AS kept
+FROM documents JOIN c ON d = doc_id LEFT JOIN n USING (doc_id)""",
+    "op4_quality_rules": f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_HAS_WORD.format("x")}) AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+t AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+v AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS j FROM t, range(0, 5) x(k)) GROUP BY 1),
+b AS (SELECT doc_id, source, text, l, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN v USING (doc_id)),
+x AS (SELECT DISTINCT source, text, lower(trim(regexp_replace(y, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS line
+  FROM (SELECT source, text, unnest(l) AS y FROM b)),
+h AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+f AS (SELECT source, line FROM (SELECT source, line, count(*) AS n FROM x GROUP BY 1, 2) JOIN h USING (source)
+  WHERE n > 20 AND n > docs * 0.002),
+k AS (SELECT source, text, sum(len(string_split(x.line, ' '))) AS total,
+  sum(CASE WHEN f.line IS NULL THEN len(string_split(x.line, ' ')) ELSE 0 END) AS left_over
+  FROM x LEFT JOIN f USING (source, line) GROUP BY 1, 2),
+z AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b LEFT JOIN k USING (source, text))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(left_over < 0.3 * total, false) AS kept FROM z""",
+}
