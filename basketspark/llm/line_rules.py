@@ -36,7 +36,7 @@ def repetition(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...]
     twins = "(k > 0 and s[k - 1].x = p.x) or (k + 1 < size(s) and s[k + 1].x = p.x)"
     d = d.withColumn("q", F.expr(f"array_sort(transform(filter(s, (p, k) -> {twins}), p -> p.i))"))
     covered = f"transform(q, (p, k) -> if(k + 1 < size(q), least({WINDOW}, q[k + 1] - p), {WINDOW}))"
-    lines = F.expr(f"filter(split(t, '\\n', -1), l -> length(translate(l, '{WHITE}', '')) > 0)")
+    lines = F.expr("filter(split(t, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
     d = d.withColumns({"c": F.expr(covered), "l": lines})
     d = d.select(
         *columns,
@@ -52,15 +52,15 @@ def repetition(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...]
 
 def _line_table(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     """(host, doc, total, line, words): distinct normalised lines by hash; ``doc`` is the text's hash, ``total`` its words."""
-    line = "lower(trim(regexp_replace(l, '[\\\\x20\\\\x09-\\\\x0D]+', ' ')))"
-    count = "size(split({}, ' '))".format(line)
     lines = F.expr(
-        f"array_distinct(transform(filter(split(t, '\\n', -1), l -> length(translate(l, '{WHITE}', '')) > 0),"
-        f" l -> struct(xxhash64({line}) as line, {count} as words)))"
+        "transform(filter(split(t, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'),"
+        " l -> lower(trim(regexp_replace(l, '[\\\\x20\\\\x09-\\\\x0D]+', ' '))))"
     )
+    # single spaces: one more word than spaces
+    sized = F.expr("transform(array_distinct(n), l -> struct(xxhash64(l) as line, length(l) - length(replace(l, ' ')) + 1 as words))")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("doc"), text.alias("t"))
-    d = d.select("host", "doc", lines.alias("x"))
+    d = d.withColumn("n", lines).select("host", "doc", sized.alias("x"))
     total = F.expr("aggregate(x, 0L, (a, y) -> a + y.words)").alias("total")
     return d.select("host", "doc", total, F.inline("x"))
 
@@ -80,7 +80,7 @@ def depleted_documents(
     one document. A text is depleted if under ``min_kept`` of the words in its distinct lines remain. A null host is
     a host. Counts are made by partial aggregation over all lines; only occurrences of frequent lines go further.
     """
-    table = _line_table(docs, host_col, text_col)
+    table = stable(_line_table(docs, host_col, text_col))  # read twice, and far smaller than the texts
     hosts = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc"))
     hosts = hosts.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
     lines = table.groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > line_docs)
