@@ -186,7 +186,9 @@ def contaminated(
     named = named.select("doc_id", "at", "item_id").distinct()
     pairs = named.join(found.select("doc_id", "at", "words"), ["doc_id", "at"])
     pairs = pairs.join(broadcast_if_small(items.select("item_id", F.col("words").alias("item")), 1000), "item_id")
-    dealt = pairs.select("doc_id", "item_id", "at", "words", "item").repartition("doc_id", "item_id")
+    # few bytes but much work a row: keep the tasks that adaptive execution would merge
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select("doc_id", "item_id", "at", "words", "item").repartition(tasks, "doc_id", "item_id")
     tiled = dealt.sortWithinPartitions("doc_id", "item_id", "at").mapInArrow(
         _tile, "doc_id long, item_id long, n_words long, n_covered long, n_tiles long"
     )
