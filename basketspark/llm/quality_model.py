@@ -16,7 +16,8 @@ from .words import Splitter, Words, mix, odd_numbers
 
 SLOTS = 1 << 18
 TRAIN_ROWS = 20_000
-EPOCHS = 4
+EPOCHS = 20
+UPDATES = 80_000
 PARTS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 1e-4
 
@@ -82,7 +83,7 @@ def learn_quality(
 ) -> np.ndarray:
     """Weights per slot from about ``train_rows`` of the labelled rows, chosen by a hash of the id, whole texts.
 
-    Each epoch passes over ``PARTS`` parts of the sample independently, from the averaged state of the last one;
+    Epochs go on to about ``UPDATES`` row updates, ``epochs`` at most. Each passes over ``PARTS`` parts of the sample independently, from the averaged state of the last one;
     the driver sees the states' sums, at most ``SLOTS`` rows. Labels that are null count as none.
     """
     named = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("label"))
@@ -94,7 +95,7 @@ def learn_quality(
     data = rows.mapInArrow(_features, "k long, label int, idx array<int>, val array<float>")
     data = stable(data.withColumn("part", F.pmod(F.xxhash64("k", F.lit(43)), F.lit(PARTS))))
     z, n = np.zeros(SLOTS), np.zeros(SLOTS)
-    for _ in range(epochs):
+    for _ in range(min(epochs, -(-UPDATES // max(1, data.count())))):
         moves = data.groupBy("part").applyInPandas(_epoch(z, n), "slot long, z double, n double")
         z, n = z.copy(), n.copy()
         for r in moves.groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).collect():
