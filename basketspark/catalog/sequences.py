@@ -130,7 +130,7 @@ for _name, _kw, _cond in (
     _add(
         f"gsp_{_name}",
         lambda s, d, kw=_kw: _text(
-            _gsp(s, d, 0.13, mining.TimeLimits(**kw)).where("n_items <= 2"), "n_elements", "support_count"
+            _gsp(s, d, 0.13, mining.TimeLimits(**kw)), "n_elements", "support_count"
         ),
         with_lines(
             f""", {OCC}, {PAIR},
@@ -210,7 +210,7 @@ LEFT JOIN c USING (pattern_text, bin)"""
 
 def _mean_quantity(s, d, order, divisor):
     found, _ = _pairs(s, d)
-    out = report.pattern_mean_quantity(found.where("n_items = 2"), _occ(s, d, order), divisor)
+    out = report.pattern_mean_quantity(found, _occ(s, d, order), divisor)
     return _text(out, "element", "item", "total", "mean_qta")
 
 
@@ -222,7 +222,9 @@ occ2 AS MATERIALIZED (SELECT occ.seq_id, pos2 AS pos, item, qta FROM occ JOIN pl
 en2 AS (SELECT seq_id, item, min(pos) AS lo FROM occ2 GROUP BY 1, 2),
 m2 AS (SELECT pattern_text, a, b, e.seq_id, e.lo AS p1, min(o.pos) AS p2 FROM fp JOIN en2 e ON e.item = a
   JOIN occ2 o ON o.seq_id = e.seq_id AND o.item = b AND o.pos > e.lo GROUP BY ALL),
-el AS (SELECT pattern_text, 0 AS element, a AS item, seq_id, p1 AS pos FROM m2
+f1 AS (SELECT item FROM ends GROUP BY 1 HAVING count(*) >= {MIN_SUP} * (SELECT n FROM nseq)),
+el AS (SELECT '[' || item || ']' AS pattern_text, 0 AS element, item, seq_id, lo AS pos FROM en2 SEMI JOIN f1 USING (item)
+  UNION ALL SELECT pattern_text, 0, a, seq_id, p1 FROM m2
   UNION ALL SELECT pattern_text, 1, b, seq_id, p2 FROM m2)
 SELECT pattern_text, CAST(element AS INT) AS element, item, CAST(sum(qta) AS BIGINT) AS total, {mean} AS mean_qta
 FROM el JOIN occ2 USING (seq_id, pos, item) GROUP BY 1, 2, 3"""
@@ -275,9 +277,11 @@ FROM c JOIN nm x ON x.item = a JOIN nm y ON y.item = b"""
 )
 
 
+SWEEP_SUP = 0.1
+
+
 def _sweep(s, d, param, days):
-    found, occ = _pairs(s, d)
-    return mining.constraint_sweep(found, occ, param, [timedelta(days=x) for x in days], 0.1)
+    return mining.constraint_sweep(_occ(s, d), param, [timedelta(days=x) for x in days], SWEEP_SUP)
 
 
 for _param, _days, _expr in (
@@ -289,10 +293,10 @@ for _param, _days, _expr in (
         f"constraint_sweep_{_param}",
         lambda s, d, p=_param, days=_days: _sweep(s, d, p, days),
         with_lines(
-            f""", {OCC}, {PAIRS_SQL}, vs AS (SELECT unnest({_days!r}) AS v),
-k AS (SELECT v, pattern_text FROM gp CROSS JOIN vs WHERE v = 0 OR {_expr} GROUP BY 1, 2
-  HAVING count(*) >= 0.1 * (SELECT n FROM nseq))
-SELECT CAST(vs.v AS INT) AS value_days, count(pattern_text) AS n_patterns FROM vs LEFT JOIN k ON k.v = vs.v GROUP BY 1"""
+            f""", {OCC}, {PAIR}, vs AS (SELECT unnest({_days!r}) AS v),
+k AS (SELECT v, a, b FROM mt CROSS JOIN vs WHERE v = 0 OR {_expr} GROUP BY 1, 2, 3
+  HAVING count(*) >= {SWEEP_SUP} * (SELECT n FROM nseq))
+SELECT CAST(vs.v AS INT) AS value_days, count(k.a) AS n_patterns FROM vs LEFT JOIN k ON k.v = vs.v GROUP BY 1"""
         ),
     )
 _add(

@@ -53,7 +53,7 @@ def gaussian_nb(
     train: DataFrame,
     test: DataFrame,
     features: Sequence[str],
-    priors: Sequence[float] | None = None,
+    priors: Mapping[int, float] | Sequence[float] | None = None,
     smoothing: float = 1e-9,
     key: str = KEY,
 ) -> DataFrame:
@@ -76,7 +76,13 @@ def gaussian_nb(
     total = sum(r["n"] for r in stats)
     spread = train.agg(F.greatest(*[F.var_pop(f) for f in features]) if len(features) > 1 else F.var_pop(features[0])).first()[0]
     floor = smoothing * spread
-    priors = list(priors) if priors is not None else [r["n"] / total for r in stats]
+    if priors is None:
+        prior = {int(r["label"]): r["n"] / total for r in stats}
+    else:  # a sequence is by label 0, 1, 2 ...; classes absent from training are never predicted
+        prior = dict(priors) if isinstance(priors, Mapping) else dict(enumerate(priors))
+        unknown = sorted({int(r["label"]) for r in stats} - set(prior))
+        if unknown:
+            raise ValueError(f"no prior for the classes {unknown}")
 
     def score(r, prior: float) -> str:
         expr = f"({math.log(prior)!r}D)"
@@ -85,7 +91,7 @@ def gaussian_nb(
             expr += f" - ({0.5 * math.log(2 * math.pi * var)!r}D) - (`{f}` - {mean}) * (`{f}` - {mean}) / ({2 * var!r}D)"
         return expr
 
-    scored = test.withColumn("scores", F.expr(f"array({', '.join(score(r, p) for r, p in zip(stats, priors))})"))
+    scored = test.withColumn("scores", F.expr(f"array({', '.join(score(r, p) for r, p in ((r, prior[int(r["label"])]) for r in stats))})"))
     classes = F.array(*[F.lit(int(r["label"])) for r in stats])
     best = classes[(F.array_position("scores", F.array_max("scores")) - 1).cast("int")]
     return scored.select(key, "label", best.alias("prediction"), "scores")

@@ -115,7 +115,8 @@ def smote(
     nearest rows of the same class.
 
     Synthetic row j uses base row j mod n in key order; neighbour and step come from a hash of (seed, j),
-    so the result does not depend on partitioning. Added columns: ``synthetic`` (null on real rows).
+    so the result does not depend on partitioning. A class of k rows or fewer uses all its other rows as
+    neighbours; one of a single row is an error. Added columns: ``synthetic`` (null on real rows).
     """
     features = list(features)
     data = stable(train.select(F.col(key).alias("base"), *features, F.col(label).alias("label")))
@@ -123,8 +124,10 @@ def smote(
     largest = max(sizes.values())
     out = data.select("base", F.lit(None).cast("long").alias("synthetic"), *features, "label")
     for c, n in sorted(sizes.items()):
-        if n == largest or n < 2:
+        if n == largest:
             continue
+        if n < 2:
+            raise ValueError(f"class {c} has one row, which has no neighbour to move towards")
         needed, available = largest - n, min(k, n - 1)
         mine = data.where(F.col("label") == c)
         pts = mine.select(F.col("base").alias("point_id"), *features)
@@ -139,9 +142,8 @@ def smote(
             .select(F.col("query_id").alias("base"), "rank", "point_id")
         )
         numbered = number_rows(mine, ["base"], "pos")
-        # positions pos, pos + n, pos + 2n ... below the needed number
-        repeats = F.when(F.col("pos") < needed, F.sequence(F.col("pos"), F.lit(needed - 1), F.lit(n)))
-        planned = numbered.select("*", F.explode(repeats).alias("j")).select(
+        rows = train.sparkSession.range(needed).select(F.col("id").alias("j"), (F.col("id") % n).alias("pos"))
+        planned = numbered.join(rows, "pos").select(
             "*",
             (F.floor(unit_hash(seed, F.lit(c), F.lit("n"), F.col("j")) * available) + 1).cast("int").alias("rank"),
             unit_hash(seed, F.lit(c), F.lit("u"), F.col("j")).alias("u"),

@@ -67,11 +67,12 @@ def classification_scores(df: DataFrame, by: Sequence[str] = (), label: str = "l
 
 
 def confusion_matrix(df: DataFrame, classes: Sequence[int] = (0, 1, 2), label: str = "label", pred: str = "prediction") -> DataFrame:
-    """One row per true class, one column ``pred_c`` per predicted class."""
+    """One row per true class, also of ``classes`` without rows, one column ``pred_c`` per predicted class."""
     wide = df.groupBy(F.col(label).cast("int").alias("label")).agg(
         *[F.count_if(F.col(pred).cast("int") == c).alias(f"pred_{c}") for c in classes]
     )
-    return wide
+    every = df.sparkSession.createDataFrame([(int(c),) for c in classes], "label int")
+    return every.join(wide, "label", "full").na.fill(0)
 
 
 def roc_curve(df: DataFrame, classes: Sequence[int] = (0, 1, 2), label: str = "label", scores: str = "scores") -> DataFrame:

@@ -115,8 +115,14 @@ class CleaningLimits:
 
 
 def parse_price(df: DataFrame) -> DataFrame:
-    """Decimal-comma text to an exact number."""
-    return df.withColumn("sale", F.regexp_replace("sale", ",", ".").try_cast("decimal(18,4)"))
+    """Decimal-comma text to an exact number; fails on text that is none."""
+    return df.withColumn("sale", _converted("sale", F.regexp_replace("sale", ",", "."), "decimal(18,4)"))
+
+
+def _converted(name: str, text: Column, kind: str) -> Column:
+    value = text.try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"{name} cannot be read: "), F.col(name))).cast(kind)
+    return F.when(F.col(name).isNotNull() & value.isNull(), wrong).otherwise(value)
 
 
 def require_customer(df: DataFrame) -> DataFrame:
@@ -143,7 +149,8 @@ def price_floor(df: DataFrame, floor: float = 0.01) -> DataFrame:
 
 
 def basket_to_long(df: DataFrame) -> DataFrame:
-    return df.withColumn("basket_id", F.replace(F.col("basket_id"), F.lit("C"), F.lit("")).try_cast("long"))
+    """Basket number without the cancellation mark; fails on other ids, which would all become one basket."""
+    return df.withColumn("basket_id", _converted("basket_id", F.replace("basket_id", F.lit("C"), F.lit("")), "long"))
 
 
 def canonical_description(df: DataFrame, pick: str = "max") -> DataFrame:
@@ -198,7 +205,7 @@ def flag_unmatched_returns(
             "_s", "_m"
         )
 
-    special = F.col("prod_id").isin(*exempt)
+    special = F.coalesce(F.col("prod_id").isin(*exempt), F.lit(False))  # rows without a product are checked as one
     checked = by_group_size(df.where(~special), keys, order, step, max_group_rows)
     return checked.unionByName(df.where(special).withColumn("unmatched", F.lit(False)))
 

@@ -135,7 +135,7 @@ def main_country(lines: DataFrame) -> DataFrame:
 
 def returned_items(lines: DataFrame, exempt: Sequence[str] = SPECIAL_ITEMS) -> DataFrame:
     """Returned quantity per customer, pseudo-products left out."""
-    back = lines.where((F.col("qta") < 0) & ~F.col("prod_id").isin(*exempt))
+    back = lines.where((F.col("qta") < 0) & ~F.coalesce(F.col("prod_id").isin(*exempt), F.lit(False)))
     return back.groupBy(CUSTOMER).agg((-F.sum("qta")).alias("returned"))
 
 

@@ -113,15 +113,11 @@ def distinct_products(lines: DataFrame, approximate: bool = False) -> DataFrame:
 def word_frequency(
     df: DataFrame, col: str = "prod_descr", stopwords: Sequence[str] = STOPWORDS, n: int = 10
 ) -> DataFrame:
-    """Most frequent white-space separated words over all lines.
-
-    Texts are counted before they are split, so a repeated description is split once.
-    """
-    texts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("m"))
-    words = texts.select(F.explode(F.split(col, r"\s+")).alias("word"), "m").where("word != ''")
+    """Most frequent white-space separated words over all lines; texts are split where they are read."""
+    words = df.select(F.explode(F.split(col, r"\s+")).alias("word")).where("word != ''")
     if stopwords:
         words = words.where(~F.col("word").isin(*stopwords))
-    return words.groupBy("word").agg(F.sum("m").alias("n")).orderBy(F.desc("n"), "word").limit(n)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(n)
 
 
 def catalog_prices(lines: DataFrame) -> DataFrame:

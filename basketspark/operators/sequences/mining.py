@@ -332,7 +332,6 @@ def mining_sweep(
 
 
 def constraint_sweep(
-    found: DataFrame,
     occ: DataFrame,
     param: str,
     values: Sequence[timedelta],
@@ -342,10 +341,11 @@ def constraint_sweep(
 ) -> DataFrame:
     """(value_days, n_patterns): patterns of 2 and 3 items left by each value of one time limit.
 
-    The leftmost match does not depend on the limit, so ``found`` (the unconstrained result) is matched
-    once and each value filters the matches; levels are then pruned on the small pattern table.
+    The leftmost match does not depend on the limit, so the unconstrained result is mined at ``min_sup`` and
+    matched once, and each value filters the matches; levels are then pruned on the small pattern table.
     """
     n = n_sequences(occ)
+    found = stable(gsp(occ, min_sup, compat_rounding=compat_rounding))
     several = found.where("n_items >= 2")
     spark = found.sparkSession
     vals = [(int(v.total_seconds() // 86400), v) for v in values]

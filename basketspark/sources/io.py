@@ -54,11 +54,16 @@ class PatternStore:
     """Mining results, one partition per (min_baskets, min_sup), constraints in days as columns."""
 
     CONSTRAINTS = ("max_span", "min_gap", "max_gap")
+    SETTINGS = (*CONSTRAINTS, "min_baskets", "min_sup", "limits")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
+    def _tag(self, given: Mapping[str, int]) -> str:
+        """Partition value of a set of constraints; 0 is a constraint, None is none."""
+        return "_".join(f"{c}{given[c]}" for c in self.CONSTRAINTS if given.get(c) is not None) or "none"
+
     def write(
         self,
         patterns: DataFrame,
@@ -68,7 +73,6 @@ class PatternStore:
     ) -> None:
         """Replace the result of this exact configuration, keeping the others."""
         given = dict(constraints or {})
-        tag = "_".join(f"{c}{given[c]}" for c in self.CONSTRAINTS if given.get(c)) or "none"
         out = patterns.select(
             "pattern",
             "n_items",
@@ -78,10 +82,19 @@ class PatternStore:
             *[F.lit(given.get(c)).cast("int").alias(c) for c in self.CONSTRAINTS],
             F.lit(int(min_baskets)).alias("min_baskets"),
             F.lit(f"{min_sup:g}").alias("min_sup"),
-            F.lit(tag).alias("limits"),
+            F.lit(self._tag(given)).alias("limits"),
+        )
+        # a row without a pattern stands for the configuration, so that an empty result replaces an old one
+        mark = out.sparkSession.range(1).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema if f.name not in self.SETTINGS],
+            *[F.lit(given.get(c)).cast("int").alias(c) for c in self.CONSTRAINTS],
+            F.lit(int(min_baskets)).alias("min_baskets"),
+            F.lit(f"{min_sup:g}").alias("min_sup"),
+            F.lit(self._tag(given)).alias("limits"),
         )
         (
-            out.write.mode("overwrite")
+            out.unionByName(mark)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("min_baskets", "min_sup", "limits")
             .parquet(self.path)
@@ -95,8 +108,7 @@ class PatternStore:
         df = self.spark.read.parquet(self.path).where(
             (F.col("min_baskets") == int(min_baskets)) & (F.col("min_sup").cast("double") == float(min_sup))
         )
-        for c in self.CONSTRAINTS:
-            df = df.where(F.col(c).eqNullSafe(F.lit(given.get(c)).cast("int")))
+        df = df.where((F.col("limits") == self._tag(given)) & F.col("pattern").isNotNull())
         return df.orderBy(F.desc("support"), F.desc("support_count"), F.col("pattern").cast("string"))
 
     def sweep(self, param: str, min_baskets: int, min_sup: float) -> DataFrame:
