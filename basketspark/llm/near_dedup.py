@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stable
 from ..operators.graph import connected_components
+from .tables import broadcast_if_small
 from .words import Splitter, distinct_sets, mix, odd_numbers, shingles
 
 SHINGLE = 5
@@ -273,8 +274,9 @@ def near_groups(
     units = _units(bodies, "grp", blocks).drop("n", "total")
     links = stable(_in_units(units, "grp", _confirmed(percent, least)).distinct())
     linked = links.select(F.col("u").alias("v")).union(links.select("v")).distinct()
-    roots = connected_components(linked, links).select(F.col("v").alias("rep"), "root")
-    named = members.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
+    # a table of its own, so that the join can split a class of very many copies
+    roots = stable(connected_components(linked, links).select(F.col("v").alias("rep"), "root"))
+    named = members.join(broadcast_if_small(roots), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
     named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
