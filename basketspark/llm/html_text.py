@@ -4,7 +4,8 @@ A page is a sequence of tokens: its block tags with their paths, and its texts.
 vectors over the host's pages agree form an equivalence class; a class is valid if its tokens stand in most pages,
 once each, in one order. Valid classes nest by path into the host's template, and what lies between the template's
 tokens are slots. A slot's place in the template tells its role: texts that are template tokens themselves, and slots
-under menus, headers, footers, side bars, notices, adverts, forms and comments are left out; the rest is extracted.
+under menus, headers, footers, side bars, notices, adverts, forms and comments are left out; of the rest the slots of
+the template's article are extracted, or all if it has none.
 """
 
 from __future__ import annotations
@@ -216,14 +217,26 @@ def matched(template: list[dict], sequence: list[int]) -> set[int]:
     return {sequence[i] for x in taken for i in x}
 
 
+def _frame(path: str, elements: set[str]) -> str:
+    """The innermost template element around a path, or nothing."""
+    while path and path not in elements:
+        path = path.rpartition("/")[0]
+    return path
+
+
 def main_text(page: str, template: list[dict]) -> str:
-    """The article's texts if the page has an article, else all texts in slots that are not left out."""
+    """The texts in the template's article slots.
+
+    Slots are what the template's tokens leave of a page; each has the role of the innermost template element around
+    it, and texts that are template tokens or lie in a region to leave out belong to none. If no slot lies in an
+    article of the template, an article of the page's own counts (few or odd pages), and after that all slots.
+    """
     found, texts = _sequence(page)
-    kept = [b for b in texts if not b.dropped]
-    if any(b.main for b in kept):
-        return " ".join(b.text for b in kept if b.main)
     known = matched(template, [t for t, _ in found]) if template else set()
-    return " ".join(b.text for b in kept if _text_token(b) not in known)
+    elements = {path for token, path in found if token in known}
+    slots = [b for b in texts if not b.dropped and _text_token(b) not in known]
+    article = [b for b in slots if not _MAIN.isdisjoint(_frame(b.path, elements).split("/"))]
+    return " ".join(b.text for b in article or [b for b in slots if b.main] or slots)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

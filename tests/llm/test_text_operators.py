@@ -245,6 +245,21 @@ def test_page_templates_and_main_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_template_slots_decide():
+    page = "<body><div>Site</div><article><p>text {i}</p></article><p>Rights</p>{more}</body>"
+    own = "<main><p>own {i}</p></main>"
+    found = [html_text._sequence(page.replace("{more}", "").replace("{i}", str(i)))[0] for i in range(3)]
+    shared = [t for t, _ in found[0] if all(t in dict(f) for f in found[1:])]
+    template = [{"cls": 1, "token": t, "place": i} for i, t in enumerate(shared)]
+    odd = page.replace("{more}", own).replace("{i}", "9")
+    # the article is the slot of the template; without one the page's own articles count
+    assert html_text.main_text(odd, template) == "text 9" and html_text.main_text(odd, []) == "text 9 own 9"
+    plain = "<body><div>Site</div><div><p>a</p><p>b</p></div><p>Rights</p></body>"
+    tokens = [t for t, _ in html_text._sequence(plain)[0]]
+    both = [{"cls": 1, "token": t, "place": i} for i, t in enumerate(tokens) if t in shared]
+    assert html_text.main_text(plain, both) == "a b" and html_text.main_text(plain, []) == "Site a b Rights"
+
+
 def test_tiles_are_greedy_and_longest_first():
     r = np.random.default_rng(3)
     for _ in range(60):
