@@ -256,7 +256,7 @@ def test_template_slots_decide():
     assert html_text.main_text(odd, template) == "text 9" and html_text.main_text(odd, []) == "text 9 own 9"
     plain = "<body><div>Site</div><div><p>a</p><p>b</p></div><p>Rights</p></body>"
     tokens = [t for t, _ in html_text._sequence(plain)[0]]
-    both = [{"cls": 1, "token": t, "place": i} for i, t in enumerate(tokens) if t in shared]
+    both = [{"cls": 1, "token": t, "place": i} for i, t in enumerate(dict.fromkeys(tokens)) if t in shared]
     assert html_text.main_text(plain, both) == "a b" and html_text.main_text(plain, []) == "Site a b Rights"
 
 
