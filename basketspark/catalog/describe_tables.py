@@ -67,6 +67,43 @@ _add(
 QUALIFY count(*) OVER (PARTITION BY basket_id, purchase_ts, prod_id) > 1"""
     ),
 )
+
+
+def _with_reversals(s, d):
+    """The raw lines and, for every purchased basket, one that takes all its lines back."""
+    raw = raw_lines(s, d)
+    back = raw.where(~F.col("basket_id").contains("C")).withColumns(
+        {"basket_id": F.concat(F.lit("C9"), "basket_id"), "qta": -F.col("qta")}
+    )
+    return raw.unionByName(back)
+
+
+_add(
+    "match_cancellations_price_quantity",
+    lambda s, d: quality.match_cancellations(_with_reversals(s, d)),
+    with_lines(
+        """, rv AS (SELECT customer_id, basket_id, prod_id, sale, qta FROM raw UNION ALL
+  SELECT customer_id, 'C9' || basket_id, prod_id, sale, -qta FROM raw WHERE basket_id NOT LIKE '%C%'),
+b AS (SELECT customer_id, basket_id, count(*) AS n_lines,
+    string_agg(prod_id || ':' || sale || ':' || abs(qta), '|' ORDER BY prod_id, sale, abs(qta)) AS sig FROM rv GROUP BY ALL)
+SELECT c.customer_id, c.basket_id, c.n_lines, count(*) AS n_matches, min(p.basket_id) AS first_match
+FROM b c JOIN b p ON c.customer_id = p.customer_id AND c.sig = p.sig
+WHERE c.basket_id LIKE '%C%' AND p.basket_id NOT LIKE '%C%' GROUP BY ALL""",
+        raw=True,
+    ),
+)
+# every line twice, so that only the single price decides
+_add(
+    "duplicate_products_price",
+    lambda s, d: quality.duplicate_products(
+        lines(s, d).unionByName(lines(s, d)).withColumnsRenamed({"purchase_ts": "basket_ts"})
+    ).select("basket_id", "prod_id", F.col("sale").cast("double").alias("sale"), "qta", "customer_id"),
+    with_lines(
+        """SELECT basket_id, prod_id, CAST(sale AS DOUBLE) AS sale, qta, customer_id FROM (FROM lines UNION ALL FROM lines)
+WINDOW same AS (PARTITION BY basket_id, purchase_ts, prod_id)
+QUALIFY count(*) OVER same > 1 AND min(sale) OVER same = max(sale) OVER same"""
+    ),
+)
 _FD = {
     "basket_date": ("basket_id", "purchase_ts"),
     "basket_customer": ("basket_id", "customer_id"),

@@ -105,6 +105,30 @@ FROM clusters LEFT JOIN cd ON cd.i = customer_id LEFT JOIN rc ON rc.i = customer
     ),
 )
 
+# the same results from many small leaves, as large tables have them
+SMALL_LEAF = 64
+_add(
+    "dbscan_many_leaves",
+    lambda s, d: density.dbscan(_scaled(s, d), RFM, EPS, MIN_PTS, leaf_rows=SMALL_LEAF).withColumn(
+        "cluster", F.col("cluster").cast("long")
+    ),
+    ORACLE["dbscan"],
+)
+_add(
+    "single_linkage_cut_many_leaves",
+    lambda s, d: density.single_linkage(_scaled(s, d), RFM, HEIGHT, leaf_rows=SMALL_LEAF).withColumn(
+        "cluster", F.col("cluster").cast("long")
+    ),
+    ORACLE["single_linkage_cut"],
+)
+_add(
+    "k_distance_many_leaves",
+    lambda s, d: density.k_distance(_scaled(s, d), RFM, 4, leaf_rows=SMALL_LEAF).select(
+        "customer_id", rnd_col("dist", 8).alias("dist")
+    ),
+    ORACLE["k_distance"],
+)
+
 # ---- k-means from fixed centres, and everything measured on its clusters --------------------------
 
 START = [[0.2, 0.2, 0.2], [0.5, 0.5, 0.5], [0.8, 0.8, 0.8]]
@@ -160,7 +184,11 @@ _add(
   {rnd('a', 6)} AS a, {rnd('b', 6)} AS b, {rnd('s', 6)} AS s FROM sil"""
     ),
 )
-_add("silhouette_squared", lambda s, d: metrics.silhouette(_lloyd(s, d), RFM, mode="squared"))
+_add(
+    "silhouette_squared",
+    lambda s, d: metrics.silhouette(_lloyd(s, d), RFM, mode="squared").select(rnd_col("silhouette", 4).alias("silhouette")),
+    with_profile(f", {LLOYD}, {_SIL.replace(_D, f'{_D} * {_D}')} SELECT {rnd('avg(s)', 4)} AS silhouette FROM sil"),
+)
 _CEN = """cen AS (SELECT cluster, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM km GROUP BY 1)"""
 _add(
     "davies_bouldin",

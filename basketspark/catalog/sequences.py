@@ -10,7 +10,7 @@ from ..functions import stable
 from ..operators.sequences import build, mining, report
 from ..operators.sequences import pattern as P
 from ..sources.io import bought
-from ..sources.retail import lines
+from ..sources.retail import lines, table
 from .base import rnd, with_lines
 
 QUERIES = {}
@@ -38,12 +38,16 @@ def _text(df, *cols):
     return df.select(P.text(F.col("pattern")).alias("pattern_text"), *cols)
 
 
-KEPT = f"""kept AS (SELECT * FROM lines WHERE qta > 0 AND customer_id IN
-  (SELECT customer_id FROM lines WHERE qta > 0 GROUP BY 1 HAVING count(DISTINCT basket_id) >= {MIN_BASKETS}))"""
+def _kept_sql(n: int) -> str:
+    return f"""kept AS (SELECT * FROM lines WHERE qta > 0 AND customer_id IN
+  (SELECT customer_id FROM lines WHERE qta > 0 GROUP BY 1 HAVING count(DISTINCT basket_id) >= {n}))"""
 
 
-def _occ_sql(order: str = "ts, basket_id") -> str:
-    return f"""{KEPT},
+KEPT = _kept_sql(MIN_BASKETS)
+
+
+def _occ_sql(order: str = "ts, basket_id", n: int = MIN_BASKETS) -> str:
+    return f"""{_kept_sql(n)},
 place AS MATERIALIZED (SELECT customer_id AS seq_id, basket_id, max(purchase_ts) AS ts FROM kept GROUP BY 1, 2),
 pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY {order}) - 1 AS pos FROM place),
 occ AS MATERIALIZED (SELECT seq_id, pos, ts, item, qta FROM (SELECT customer_id AS seq_id, basket_id, prod_descr AS item,
@@ -140,6 +144,63 @@ UNION ALL SELECT '[' || a || '][' || b || ']', CAST(2 AS INT), count(*) FROM mt
 HAVING count(*) >= 0.13 * (SELECT n FROM nseq)"""
         ),
     )
+
+
+# ---- brands as items: few values, so that patterns of three items are frequent ----------------------
+
+BRAND_SUP = 0.19
+
+
+def _brand_occ(s, d):
+    brands = table(s, d, "part").select(
+        F.col("p_partkey").cast("string").alias("prod_id"), F.col("p_brand").alias("brand")
+    )
+    return stable(build.occurrences(_kept(s, d).join(brands, "prod_id"), "brand"))
+
+
+def _brands_sql(gap: str) -> str:
+    """Levels 1 to 4 of single-item elements, and pairs of one element; SQL fails if those could go on."""
+    occ = OCC.replace("prod_descr AS item", "p_brand AS item").replace(
+        "basket_id, p_brand", "kept.basket_id, p_brand"
+    )
+    occ = occ.replace("qta FROM kept GROUP BY 1, 2, 3", "qta FROM kept JOIN part ON prod_id = CAST(p_partkey AS VARCHAR) GROUP BY 1, 2, 3")
+    least = f"HAVING count(*) >= {BRAND_SUP} * (SELECT n FROM nseq)"
+    return f""", {occ}, {PAIR},
+f1 AS (SELECT item, count(*) AS c FROM ends GROUP BY 1 {least}),
+m2 AS MATERIALIZED (SELECT * FROM mt WHERE {gap.format('t2 - t1')}),
+f2 AS MATERIALIZED (SELECT a, b, count(*) AS n2 FROM m2 GROUP BY 1, 2 {least}),
+g2 AS (SELECT x.item AS a, y.item AS b, count(DISTINCT x.seq_id) AS c FROM occ x JOIN occ y
+  ON x.seq_id = y.seq_id AND x.pos = y.pos AND x.item < y.item GROUP BY 1, 2
+  HAVING count(DISTINCT x.seq_id) >= {BRAND_SUP} * (SELECT n FROM nseq)),
+m3 AS MATERIALIZED (SELECT m.seq_id, m.a, m.b, o.item AS c, m.p2, m.t2, min(o.pos) AS p3, min(o.ts) AS t3
+  FROM m2 m JOIN f2 USING (a, b) JOIN occ o ON o.seq_id = m.seq_id AND o.pos > m.p2
+  JOIN f2 n ON n.a = m.b AND n.b = o.item GROUP BY ALL),
+k3 AS MATERIALIZED (SELECT * FROM m3 WHERE {gap.format('t3 - t2')}),
+f3 AS MATERIALIZED (SELECT a, b, c, count(*) AS n3 FROM k3 GROUP BY 1, 2, 3 {least}),
+m4 AS (SELECT m.seq_id, m.a, m.b, m.c, o.item AS d, m.t3, min(o.ts) AS t4
+  FROM k3 m JOIN f3 USING (a, b, c) JOIN occ o ON o.seq_id = m.seq_id AND o.pos > m.p3
+  JOIN f3 n ON n.a = m.b AND n.b = m.c AND n.c = o.item GROUP BY ALL),
+f4 AS (SELECT a, b, c, d, count(*) AS n4 FROM m4 WHERE {gap.format('t4 - t3')} GROUP BY 1, 2, 3, 4 {least}),
+mined AS (SELECT '[' || item || ']' AS pattern_text, 1 AS n_items, c AS support_count FROM f1
+  UNION ALL SELECT '[' || a || '][' || b || ']', 2, n2 FROM f2
+  UNION ALL SELECT '[' || a || '][' || b || '][' || c || ']', 3, n3 FROM f3
+  UNION ALL SELECT '[' || a || '][' || b || '][' || c || '][' || d || ']', 4, n4 FROM f4)
+SELECT pattern_text, CAST(n_items AS INT) AS n_items, support_count FROM mined
+WHERE CASE WHEN EXISTS (FROM g2) THEN error('elements of two items occur') ELSE true END"""
+
+
+for _name, _kw, _gap in (
+    ("untimed", {}, "true OR {} IS NULL"),
+    ("min_gap", {"min_gap": timedelta(days=30)}, "{} >= INTERVAL 30 DAY"),
+    ("max_gap", {"max_gap": timedelta(days=1700)}, "{} <= INTERVAL 1700 DAY"),
+):
+    _add(
+        f"gsp_brands_{_name}",
+        lambda s, d, kw=_kw: _text(
+            mining.gsp(_brand_occ(s, d), BRAND_SUP, mining.TimeLimits(**kw)), "n_items", "support_count"
+        ),
+        with_lines(_brands_sql(_gap)),
+    )
 _add(
     "pattern_support",
     lambda s, d: _text(
@@ -299,9 +360,27 @@ k AS (SELECT v, a, b FROM mt CROSS JOIN vs WHERE v = 0 OR {_expr} GROUP BY 1, 2,
 SELECT CAST(vs.v AS INT) AS value_days, count(k.a) AS n_patterns FROM vs LEFT JOIN k ON k.v = vs.v GROUP BY 1"""
         ),
     )
+SUPS, BASKETS = (0.4, 0.2, 0.15), (12, 10)
+
+
+def _sweep_sql(n: int) -> str:
+    sizes = ", ".join(
+        f"{{'s': {s}, 'p': count(*) FILTER (x >= {s}), 't': count(*) FILTER (x >= {s} AND n_items >= 2),"
+        f" 'r': count(*) FILTER (x >= {s} AND again)}}"
+        for s in SUPS
+    )
+    sql = f""", {_occ_sql(n=n)}, {_mined_sql(min(SUPS))},
+sp AS (SELECT n_items, c / CAST((SELECT n FROM nseq) AS DOUBLE) AS x,
+  len(list_distinct(regexp_extract_all(pattern_text, '[^\\[\\],]+'))) < n_items AS again FROM mined)
+SELECT {n} AS min_baskets, unnest([{sizes}]) AS z FROM sp"""
+    return f"SELECT * FROM ({with_lines(sql)})"
+
+
 _add(
     "mining_sweep",
     lambda s, d: mining.mining_sweep(
-        bought(lines(s, d)), min_sups=(0.4, 0.2, 0.15), min_baskets=(12, 10), item="prod_descr"
+        bought(lines(s, d)), min_sups=SUPS, min_baskets=BASKETS, item="prod_descr"
     ).drop("seconds"),
+    f"""SELECT CAST(min_baskets AS INT) AS min_baskets, CAST(z.s AS DOUBLE) AS min_sup, z.p AS n_patterns,
+  z.t AS n_two_or_more, z.r AS n_with_repeats FROM ({' UNION ALL '.join(map(_sweep_sql, BASKETS))})""",
 )
