@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import rnd
+from ...functions import rnd, stable
 from ..spatial import distances
 from ..stats import box_stats
 
@@ -104,28 +104,39 @@ def silhouette(
     return df.sparkSession.createDataFrame([(mode, float(value))], "mode string, silhouette double")
 
 
-def davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
-    """Mean over clusters of the worst (s_i + s_j) / d_ij; the pairing runs over the cluster table only."""
+def davies_bouldin(
+    df: DataFrame, cols: Sequence[str], cluster: str = "cluster", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Mean over clusters of the worst (s_i + s_j) / d_ij.
+
+    Pairs are of clusters only, met in blocks of bounded size; tasks return the worst ratio of each cluster.
+    """
     cols = list(cols)
     cen = centroids(df, cols, cluster).select(cluster, *[F.col(c).alias(f"m_{c}") for c in cols])
     pts = df.select(cluster, *[F.col(c).cast("double").alias(c) for c in cols])
     spread = pts.join(cen, cluster).groupBy(cluster).agg(
         F.avg(F.sqrt(_squares(cols, "m_"))).alias("s"), *[F.first(f"m_{c}").alias(c) for c in cols]
     )
-    every = spread.agg(
-        F.collect_list(F.struct(F.col(cluster).alias("k"), "s", F.array(*cols).alias("m"))).alias("x")
-    ).scalar()
-
-    def ratio(o):
-        gap = F.sqrt(
-            F.aggregate(
-                F.zip_with(F.array(*cols), o["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v
-            )
-        )
-        return (F.col("s") + o["s"]) / F.nullif(gap, F.lit(0.0))
+    table = stable(spread.withColumnRenamed(cluster, "c"))
+    n_blocks = max(1, -(-table.count() // block_rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    own = F.pmod(F.xxhash64("c"), F.lit(n_blocks)).cast("int")
+    left = table.withColumns({"i": own, "j": every})
+    right = table.select(every.alias("i2"), own.alias("j2"), F.col("c").alias("o"), F.col("s").alias("t"), *cols)
 
-    worst = F.array_max(F.transform(F.filter("_all", lambda o: o["k"] != F.col(cluster)), ratio))
-    scored = spread.withColumn("_all", every).select(F.coalesce(worst, F.lit(0.0)).alias("r"))
+    def worst(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for k in range(0, len(a) if len(b) else 0, 500):
+            part = a.iloc[k : k + 500]
+            gap = distances(part[cols].to_numpy(dtype=float), b[cols].to_numpy(dtype=float))
+            # a cluster is not its own neighbour, nor is one in the same place
+            gap[(gap == 0) | (part["c"].to_numpy()[:, None] == b["o"].to_numpy()[None])] = np.inf
+            ratio = (part["s"].to_numpy(dtype=float)[:, None] + b["t"].to_numpy(dtype=float)[None]) / gap
+            out.append(pd.DataFrame({"c": part["c"].to_numpy(), "r": ratio.max(axis=1)}))
+        return pd.concat(out) if out else pd.DataFrame({"c": [], "r": []})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2"))
+    scored = met.applyInPandas(worst, f"c {dict(table.dtypes)['c']}, r double").groupBy("c").agg(F.max("r").alias("r"))
     return scored.agg(rnd(F.avg("r"), 4).alias("davies_bouldin"))
 
 

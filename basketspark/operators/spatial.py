@@ -1,8 +1,8 @@
 """Exact neighbourhood work over a balanced split of the points.
 
 Points are cut into leaves of bounded size along approximate quantiles until no leaf is too large, so
-a dense spot is simply cut finer. A query goes only to the leaves whose bounding box it can reach, and
-a leaf that receives many queries is served by several tasks. Nothing emits all pairs: tasks return
+a dense spot is simply cut finer. A query goes only to the leaves whose bounding box it can reach (the nearest
+neighbours found in its own leaf tell how far that is), and a leaf that receives many queries is served by several tasks. Nothing emits all pairs: tasks return
 the nearest few, counts, or component links. Leaf boxes are the only thing held by every task; their
 number is bounded by ``MAX_LEAVES``.
 """
@@ -146,12 +146,14 @@ def route(
     radius: float | None = None,
     k: int | None = None,
     foreign: str | None = None,
+    home: bool = False,
 ) -> DataFrame:
     """Repeat each query for every leaf it has to visit, as column ``to_leaf``.
 
-    ``radius`` visits the boxes within it. ``k`` first bounds the k-th neighbour by the boxes that
-    surely hold k points. ``foreign`` names a group column: the nearest point of another group is
-    wanted, and boxes known to hold only the query's group are passed over.
+    ``radius`` visits the boxes within it. ``home`` visits the nearest box only. ``k`` is for queries that have been
+    home: they carry ``_home``, which is not visited again, and the distance ``_reach`` of their k-th neighbour there;
+    where that is null, the boxes that surely hold k points bound it. ``foreign`` names a group column: the nearest
+    point of another group is wanted, and boxes known to hold only the query's group are passed over.
     """
     cols = list(cols)
     schema = T.StructType([*queries.schema.fields, T.StructField("to_leaf", T.LongType())])
@@ -164,21 +166,22 @@ def route(
                 near = boxes.near(x, p)
                 if radius is not None:
                     go = near <= radius * _WIDER
+                elif home:
+                    go = np.zeros(near.shape, dtype=bool)
+                    if go.size:
+                        go[np.arange(len(x)), near.argmin(axis=1)] = True
+                elif foreign is not None:
+                    own = boxes.extra["only"][None] == part[foreign].to_numpy()[:, None]
+                    far = np.where(own, np.inf, boxes.far(x, p))
+                    near = np.where(own, np.inf, near)
+                    go = near <= far.min(axis=1)[:, None] * _WIDER
+                    go &= np.isfinite(near)
                 else:
-                    far = boxes.far(x, p)
-                    rows = np.broadcast_to(boxes.rows, far.shape)
-                    if foreign is not None:
-                        own = boxes.extra["only"][None] == part[foreign].to_numpy()[:, None]
-                        far = np.where(own, np.inf, far)
-                        near = np.where(own, np.inf, near)
-                        reach = far.min(axis=1)
-                    else:
-                        order = far.argsort(axis=1)
-                        filled = np.take_along_axis(rows, order, 1).cumsum(axis=1) >= k
-                        at = np.where(filled.any(axis=1), filled.argmax(axis=1), far.shape[1] - 1)
-                        reach = np.take_along_axis(far, order, 1)[np.arange(len(x)), at]
+                    reach = part["_reach"].to_numpy(dtype=float).copy()
+                    short = np.flatnonzero(np.isnan(reach))
+                    reach[short] = _filled(boxes, x[short], p, k)
                     go = near <= reach[:, None] * _WIDER
-                    go &= np.isfinite(near)
+                    go &= boxes.leaf[None] != part["_home"].to_numpy()[:, None]
                 qi, bi = np.nonzero(go)
                 out = part.iloc[qi].copy()
                 out["to_leaf"] = boxes.leaf[bi]
@@ -187,6 +190,17 @@ def route(
     return queries.mapInPandas(visit, schema)
 
 
+def _filled(boxes: Boxes, x: np.ndarray, p: int, k: int) -> np.ndarray:
+    """A distance within which each row of ``x`` surely has k points, or all there are."""
+    far = boxes.far(x, p)
+    if not far.size:
+        return np.full(len(x), np.inf)
+    order = far.argsort(axis=1)
+    filled = boxes.rows[order].cumsum(axis=1) >= k
+    at = np.where(filled.any(axis=1), filled.argmax(axis=1), far.shape[1] - 1)
+    return np.take_along_axis(far, order, 1)[np.arange(len(x)), at]
+
+
 def meet(
     routed: DataFrame,
     index_points: DataFrame,
@@ -231,11 +245,15 @@ def knn(
     p: int = 2,
     leaf_rows: int | None = None,
 ) -> DataFrame:
-    """(query_key, rank, key, dist): the k nearest points, ties by smaller key. Exact."""
+    """(query_key, rank, key, dist): the k nearest points, ties by smaller key. Exact.
+
+    A query (one row per key) first searches the leaf it lies in; the k-th distance found there is the radius within
+    which other leaves are visited. In few dimensions these are a handful. With a dozen, most leaves lie within the
+    radius of most queries however they are cut, and an exact search comes near comparing all with all.
+    """
     cols = list(cols)
     pts = few_copies(points.select(key, *cols), cols, key, k)
     index = build_index(pts, cols, max(leaf_rows or LEAF_ROWS, k))
-    routed = route(queries.select(query_key, *cols), cols, index.boxes, p, k=k)
     types = dict(queries.dtypes)[query_key], dict(points.dtypes)[key]
 
     def nearest(q: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +273,14 @@ def knn(
             out.append(near[[query_key, key, "dist"]])
         return pd.concat(out) if out else pd.DataFrame({query_key: [], key: [], "dist": []})
 
-    found = meet(routed, index.points, nearest, f"{query_key} {types[0]}, {key} {types[1]}, dist double")
+    schema = f"{query_key} {types[0]}, {key} {types[1]}, dist double"
+    home = stable(route(queries.select(query_key, *cols), cols, index.boxes, p, home=True))
+    found = stable(meet(home, index.points, nearest, schema))
+    reach = found.groupBy(query_key).agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_reach"))
+    reach = reach.where(F.col("_n") == k).drop("_n")
+    if len(index.boxes.leaf) > 1:
+        rest = home.withColumnRenamed("to_leaf", "_home").join(reach, query_key, "left")
+        found = found.unionByName(meet(route(rest, cols, index.boxes, p, k=k), index.points, nearest, schema))
     w = Window.partitionBy(query_key).orderBy("dist", key)
     return (
         found.withColumn("rank", F.row_number().over(w))

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from basketspark.operators import spatial
 from basketspark.operators.clustering import density, metrics
 from basketspark.operators.graph import connected_components
 from basketspark.operators.spatial import box_table, build_index, distances, knn
@@ -68,6 +69,47 @@ def test_knn_is_exact(spark, p):
     assert {(r.query_id, r.rank): r.point_id for r in got.itertuples()} == want
 
 
+def test_knn_visits_few_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(20_000), **dict(zip("xyz", rng.uniform(0, 1, (3, 20_000))))}))
+    visits, real = [], spatial.meet
+
+    def counted(routed, *rest):
+        visits.append(routed.count())
+        return real(routed, *rest)
+
+    monkeypatch.setattr(spatial, "meet", counted)
+    pts = df.withColumnRenamed("id", "point_id")
+    index = build_index(pts, list("xyz"), 200)
+    assert len(index.boxes.leaf) == 64
+    knn(df.withColumnRenamed("id", "query_id"), pts, list("xyz"), 9, p=1, leaf_rows=200)
+    assert visits[0] == 20_000 and sum(visits) < 10 * 20_000
+    print("leaves per query", sum(visits) / 20_000)
+
+
+def test_knn_with_fewer_points_than_neighbours(spark):
+    pts = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "point_id long, x double")
+    q = spark.createDataFrame([(1, 0.9), (2, 9.0)], "query_id long, x double")
+    got = {(r.query_id, r.rank): r.point_id for r in knn(q, pts, ["x"], 5, leaf_rows=1).collect()}
+    assert got == {(1, 1): 2, (1, 2): 1, (1, 3): 3, (2, 1): 3, (2, 2): 2, (2, 3): 1}
+    assert knn(q, pts.where("x > 9"), ["x"], 2).count() == 0
+    assert knn(q.where("x < 0"), pts, ["x"], 2).count() == 0
+
+
+@pytest.mark.parametrize("block_rows", [3, 2000])
+def test_davies_bouldin_equals_numpy(spark, block_rows):
+    pdf = points(120, seed=6)
+    pdf["cluster"] = (pdf["x"] * 11).astype(int)
+    means = pdf.groupby("cluster")[COLS].mean()
+    near = np.sqrt(((pdf[COLS] - means.loc[pdf["cluster"]].to_numpy()) ** 2).sum(axis=1))
+    s = near.groupby(pdf["cluster"]).mean().to_numpy()
+    gap = distances(means.to_numpy(), means.to_numpy())
+    np.fill_diagonal(gap, np.inf)
+    want = ((s[:, None] + s[None]) / gap).max(axis=1).mean()
+    got = metrics.davies_bouldin(spark.createDataFrame(pdf), COLS, block_rows=block_rows).first()[0]
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 @pytest.mark.parametrize("eps,min_pts", [(0.02, 4), (0.08, 3), (0.5, 5)])
 def test_dbscan_equals_brute_force(spark, eps, min_pts):
     pdf = points(seed=2)
