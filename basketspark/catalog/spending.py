@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rnd as rnd_col
-from ..functions import stable
+from ..functions import stable, stored
 from ..operators import features, labels, profile
 from ..operators.classify import models, neighbours, scores
 from ..sources.retail import lines, stored_lines
@@ -36,7 +36,7 @@ def _profile(s, d):
 
 def _classes(s, d):
     return labels.spending_classes(
-        stable(_profile(s, d)), MIN_BASKETS, CAP, HIGH, start=START, steps=STEPS
+        stored(_profile(s, d)), MIN_BASKETS, CAP, HIGH, start=START, steps=STEPS
     )
 
 
@@ -106,7 +106,7 @@ _add(
 _add(
     "spending_classes_restarts",
     lambda s, d: labels.spending_classes(
-        stable(_profile(s, d)), MIN_BASKETS, CAP, HIGH, n_init=3, max_iter=50
+        stored(_profile(s, d)), MIN_BASKETS, CAP, HIGH, n_init=3, max_iter=50
     ).select("customer_id", "label"),
 )
 _add(
@@ -149,9 +149,9 @@ SELECT customer_id, {', '.join(f'coalesce(max(q) FILTER (category = {i}), 0) AS
 def _table(s, d):
     rows = stored_lines(s, d)
     classes = labels.spending_classes(
-        stable(profile.customer_profile(rows)), MIN_BASKETS, CAP, HIGH, start=START, steps=STEPS
+        stored(profile.customer_profile(rows)), MIN_BASKETS, CAP, HIGH, start=START, steps=STEPS
     )
-    return stable(labels.classification_table(classes, rows))
+    return stored(labels.classification_table(classes, rows))
 
 
 _add("classification_table", _table, with_profile(f", {TABLE} SELECT * FROM cls"))
@@ -404,13 +404,13 @@ def _leaves(s, d):
 
 def _svm(s, d):
     train, test = _sets(s, d)
-    (out,) = models.rbf_svm(train, [test], CLASS_FEATURES, max_iter=20)
+    (out,) = models.rbf_svm(train, [test], CLASS_FEATURES)
     return out
 
 
 def _mlp_scores(s, d):
     train, test = _sets(s, d)
-    model, _ = models.mlp(train, CLASS_FEATURES, max_iter=15)
+    model, _ = models.mlp(train, CLASS_FEATURES)
     return models.train_test_scores(model, train, test)
 
 

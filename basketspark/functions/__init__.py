@@ -1,7 +1,7 @@
 from .numeric import entropy, one_row, rnd, whole_days
 from .ordered import MAX_GROUP_ROWS, by_group_size, number_rows, prepared, scan, with_blocks
 from .quantiles import exact_quantiles
-from .session import ensure_checkpoint_dir, stable
+from .session import ensure_checkpoint_dir, stable, stored
 
 __all__ = [
     "MAX_GROUP_ROWS",
@@ -15,6 +15,7 @@ __all__ = [
     "rnd",
     "scan",
     "stable",
+    "stored",
     "whole_days",
     "with_blocks",
 ]

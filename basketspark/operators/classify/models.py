@@ -174,7 +174,7 @@ def rbf_svm(
     c: float = 1.0,
     gamma: float | str = "scale",
     size: int = 128,
-    max_iter: int = 50,
+    max_iter: int = 100,
     weights: Mapping[int, float] | str | None = None,
     seed: int = 22,
     key: str = KEY,

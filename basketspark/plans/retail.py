@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import stable
+from ..functions import stable, stored
 from ..operators.cleaning import CleaningLimits, clean, trim_profiles
 from ..operators.labels import classification_table, spending_classes
 from ..operators.profile import customer_profile
@@ -15,13 +15,13 @@ from ..sources.io import bought
 
 def raw_to_profile(raw: DataFrame, limits: CleaningLimits = CleaningLimits()) -> tuple[DataFrame, DataFrame]:
     """(clean lines, capped customer profile)."""
-    lines = stable(clean(raw, limits))
+    lines = stored(clean(raw, limits))
     return lines, trim_profiles(customer_profile(lines))
 
 
 def profile_to_classes(profile: DataFrame, lines: DataFrame, **options) -> DataFrame:
     """Labelled table for the classifiers."""
-    return classification_table(spending_classes(stable(profile), **options), lines)
+    return classification_table(spending_classes(stored(profile), **options), lines)
 
 
 def lines_to_patterns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stable
+from ..functions import stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,8 +49,8 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines written out once, for work that reads them several times."""
-    return stable(lines(spark, folder))
+    """The lines written out once as Parquet, for work that reads them several times."""
+    return stored(lines(spark, folder))
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
