@@ -422,7 +422,18 @@ def _grid(s, d):
 
 def _knn_grid(s, d):
     train, _ = _sets(s, d)
-    return neighbours.knn_grid_search(models.stratified_folds(train), CLASS_FEATURES, ks=(1, 5, 9, 12, 20))
+    return neighbours.knn_grid_search(models.stratified_folds(train), CLASS_FEATURES, ks=(*range(1, 16), 20, 30))
+
+
+def _forest_grid(s, d):
+    train, _ = _sets(s, d)
+    grid = {"impurity": ["gini", "entropy"], "maxDepth": [5, 10], "bootstrap": [True, False]}
+    return models.grid_search(train, CLASS_FEATURES, "random_forest", grid)[1]
+
+
+def _svm_grid(s, d):
+    train, _ = _sets(s, d)
+    return models.svm_grid_search(train, CLASS_FEATURES, cs=[0.01 + 0.1 * i for i in range(9)])
 
 
 _add("decision_tree_scores", _tree_scores)
@@ -432,3 +443,5 @@ _add("rbf_svm", _svm)
 _add("mlp_scores", _mlp_scores)
 _add("grid_search_decision_tree", _grid)
 _add("grid_search_knn", _knn_grid)
+_add("grid_search_random_forest", _forest_grid)
+_add("grid_search_rbf_svm", _svm_grid)

@@ -22,7 +22,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import number_rows
+from ...functions import number_rows, stable
 from ..features import class_weights
 from .scores import classification_scores
 
@@ -276,6 +276,42 @@ def grid_search(
     return model, train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("accuracy"), "setting")
 
 
+def svm_grid_search(
+    train: DataFrame,
+    features: Sequence[str],
+    cs: Sequence[float],
+    gammas: Sequence[str | float] = ("scale", "auto"),
+    size: int = 128,
+    max_iter: int = 100,
+    n_folds: int = 3,
+    parallelism: int = 4,
+    seed: int = 22,
+    key: str = KEY,
+) -> DataFrame:
+    """(gamma, c, accuracy) of the kernel machine by cross-validation on stratified folds, best first."""
+    if min(cs) <= 0:
+        raise ValueError("c must be positive")
+    data = stratified_folds(train, n_folds, seed, key)
+    n = train.count() * (n_folds - 1) / n_folds
+    rows = []
+    for how in gammas:
+        g = how if isinstance(how, float) else rbf_gamma(train, features, how)
+        mapped = stable(fourier_features(data, features, g, size, seed).select("label", "fold", "features"))
+        each = OneVsRest()
+        machines = [LinearSVC(maxIter=max_iter, regParam=1.0 / (n * c)) for c in cs]
+        cv = CrossValidator(
+            estimator=each,
+            estimatorParamMaps=ParamGridBuilder().addGrid(each.classifier, machines).build(),
+            evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
+            numFolds=n_folds,
+            foldCol="fold",
+            parallelism=parallelism,
+        )
+        rows += [(str(how), float(c), float(a)) for c, a in zip(cs, cv.fit(mapped).avgMetrics, strict=True)]
+    out = train.sparkSession.createDataFrame(rows, "gamma string, c double, accuracy double")
+    return out.orderBy(F.desc("accuracy"), "gamma", "c")
+
+
 def leaf_profile(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per leaf of a fitted tree: size, class counts, majority class, feature ranges."""
     at = model.transform(df)

@@ -188,6 +188,11 @@ def _number_clusters(roots: DataFrame) -> DataFrame:
     return number_rows(roots.select("root").distinct(), ["root"], "cluster")
 
 
+def counted_positions(index: Index, eps: float) -> DataFrame:
+    """The index's positions with ``degree``, written out."""
+    return stable(index.points.join(degrees(index, eps), "pid"))
+
+
 def dbscan(
     df: DataFrame,
     cols: Sequence[str],
@@ -196,14 +201,16 @@ def dbscan(
     key: str = "customer_id",
     index: Index | None = None,
     leaf_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(key, cluster): a point with ``min_pts`` points within eps (itself included) is core; -1 is noise.
 
-    A border point joins the earliest cluster that reaches it.
+    A border point joins the earliest cluster that reaches it. ``counted`` is the result of
+    :func:`counted_positions` for ``index`` and ``eps``, if it is there already.
     """
     cols = list(cols)
     index = index or position_index(df, cols, key, leaf_rows)
-    deg = stable(index.points.join(degrees(index, eps), "pid"))
+    deg = counted_positions(index, eps) if counted is None else counted
     core = eps_components(deg.where(F.col("degree") >= min_pts), cols, eps)
     core = stable(core.select("pid", *cols, "leaf", "root"))
     rest = deg.where(F.col("degree") < min_pts).select("pid", *cols)
@@ -327,8 +334,9 @@ def dbscan_grid(
     points = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
     rows = []
     for eps in eps_values:
+        counted = counted_positions(index, eps)  # serves every min_pts
         for min_pts in min_pts_values:
-            labels = stable(points.join(dbscan(df, cols, eps, min_pts, key, index=index), key))
+            labels = stable(points.join(dbscan(df, cols, eps, min_pts, key, index=index, counted=counted), key))
             found = labels.agg(
                 F.count_distinct("cluster").alias("k"), F.count_if(F.col("cluster") == -1).alias("noise")
             ).first()

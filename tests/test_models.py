@@ -1,8 +1,11 @@
 """Seeded clusterings on three clear groups of points, by properties and against numpy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
+from basketspark.operators.classify import models, neighbours
 from basketspark.operators.clustering import metrics, partition
 
 COLS = ["x", "y"]
@@ -77,3 +80,90 @@ def test_evolution_never_loses_its_best(blobs):
     x = np.array(blobs.select(*COLS).collect())
     d = ((x[:, None] - np.array(runs[1][1])[None]) ** 2).sum(axis=2)
     assert runs[1][2] == pytest.approx(d.min(axis=1).sum())
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """The groups again, wider and of unequal size, with a few wrong labels."""
+    r = np.random.default_rng(2)
+    rows = []
+    for g, (m, n) in enumerate(zip(MIDDLES, (60, 40, 20))):
+        for i in range(n):
+            x, y = m + r.normal(0, 0.08, 2)
+            rows.append((len(rows), float(x), float(y), (g + 1) % 3 if i % 15 == 7 else g))
+    return spark.createDataFrame(rows, "customer_id long, x double, y double, label int").cache()
+
+
+MAJORITY = 0.5
+
+
+def accuracy(predicted):
+    rows = predicted.collect()
+    assert len({r.customer_id for r in rows}) == len(rows)
+    assert all(sum(r.scores) == pytest.approx(1) for r in rows)
+    return sum(r.label == r.prediction for r in rows) / len(rows)
+
+
+def test_trees_and_leaves(noisy):
+    train, test = noisy.where("customer_id % 4 != 0"), noisy.where("customer_id % 4 = 0")
+    tree = models.decision_tree(train, COLS, max_depth=4)
+    assert accuracy(models.predict(tree, test)) > 0.8 > MAJORITY
+    forest = models.random_forest(train, COLS, n_trees=10, max_depth=5)
+    assert accuracy(models.predict(forest, test)) > 0.8
+    by = {r.split: r.accuracy for r in models.train_test_scores(tree, train, test).collect()}
+    assert by["train"] == pytest.approx(accuracy(models.predict(tree, train)), abs=1e-4)
+    assert by["test"] == pytest.approx(accuracy(models.predict(tree, test)), abs=1e-4)
+    leaves = models.leaf_profile(tree, train, COLS).collect()
+    total = Counter()
+    for r in leaves:
+        assert r.n == sum(r.class_counts.values()) and r.class_counts[r.majority] == max(r.class_counts.values())
+        assert r.min_x <= r.max_x and r.min_y <= r.max_y
+        total.update(r.class_counts)
+    assert total == Counter(r.label for r in train.select("label").collect())
+    assert all(r.leaf == s.leaf or r.max_x < s.min_x or s.max_x < r.min_x or r.max_y < s.min_y or s.max_y < r.min_y
+               for r in leaves for s in leaves)
+
+
+def test_kernel_machine_and_network(noisy):
+    train, test = noisy.where("customer_id % 4 != 0"), noisy.where("customer_id % 4 = 0")
+    for got in models.rbf_svm(train, [train, test], COLS, c=10.0, gamma=10.0, size=32, max_iter=30):
+        assert accuracy(got) > 0.8
+    model, loss = models.mlp(train, COLS, hidden=(8, 4), max_iter=120)
+    losses = [r.loss for r in loss.orderBy("iteration").collect()]
+    assert losses[-1] < losses[0] and accuracy(models.predict(model, test)) > 0.8
+
+
+def test_grid_searches(noisy):
+    model, out = models.grid_search(noisy, COLS, "decision_tree", {"impurity": ["gini", "entropy"], "maxDepth": [1, 4]})
+    rows = out.collect()
+    assert {r.setting for r in rows} == {f"impurity={i}, maxDepth={d}" for i in ("gini", "entropy") for d in (1, 4)}
+    assert [r.accuracy for r in rows] == sorted((r.accuracy for r in rows), reverse=True)
+    assert "maxDepth=4" in rows[0].setting and model.bestModel.getMaxDepth() == 4
+    svm = models.svm_grid_search(noisy, COLS, [0.5, 5.0], gammas=["scale", 10.0], size=16, max_iter=15, n_folds=2).collect()
+    assert {(r.gamma, r.c) for r in svm} == {(g, c) for g in ("scale", "10.0") for c in (0.5, 5.0)}
+    assert [(-r.accuracy, r.gamma, r.c) for r in svm] == sorted((-r.accuracy, r.gamma, r.c) for r in svm)
+    assert all(0.8 < r.accuracy < 1 for r in svm)  # wrong labels can't all be right
+    with pytest.raises(ValueError):
+        models.svm_grid_search(noisy, COLS, [0.0, 1.0])
+
+
+def test_knn_grid_equals_loop(noisy):
+    df = models.stratified_folds(noisy)
+    rows = df.collect()
+    per = Counter((r.label, r.fold) for r in rows)
+    assert all(max(per[c, f] for f in range(3)) - min(per[c, f] for f in range(3)) <= 1 for c in range(3))
+    got = {(r.p, r.weights, r.k): r.accuracy for r in neighbours.knn_grid_search(df, COLS, (1, 4, 7)).collect()}
+    assert len(got) == 12
+    for (p, weights, k), value in got.items():
+        hits = 0
+        for a in rows:
+            near = []
+            for b in rows:
+                if b.fold != a.fold:
+                    dx, dy = abs(a.x - b.x), abs(a.y - b.y)
+                    near.append((dx + dy if p == 1 else (dx * dx + dy * dy) ** 0.5, b.customer_id, b.label))
+            votes = Counter()
+            for d, _, label in sorted(near)[:k]:
+                votes[label] += 1 if weights == "uniform" else 1 / d
+            hits += min(votes, key=lambda c: (-votes[c], c)) == a.label
+        assert value == pytest.approx(hits / len(rows), abs=1e-6)

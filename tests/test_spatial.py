@@ -117,6 +117,26 @@ def test_dbscan_equals_brute_force(spark, eps, min_pts):
     assert {r["id"]: r["cluster"] for r in got.collect()} == brute_dbscan(pdf, eps, min_pts)
 
 
+def test_dbscan_grid_equals_brute_force(spark):
+    pdf = points(150, seed=8)
+    got = density.dbscan_grid(spark.createDataFrame(pdf), COLS, [0.02, 0.08], [3, 6], key="id").collect()
+    assert [(r.eps, r.min_pts) for r in got] == [(0.02, 3), (0.02, 6), (0.08, 3), (0.08, 6)]
+    d = distances(pdf[COLS].to_numpy(), pdf[COLS].to_numpy())
+    for r in got:
+        label = pdf["id"].map(brute_dbscan(pdf, r.eps, r.min_pts)).to_numpy()
+        assert (r.n_clusters, r.n_noise) == (len(set(label) - {-1}), (label == -1).sum())
+        s = []
+        for i in range(len(pdf)):
+            own = label == label[i]
+            if own.sum() == 1:
+                s.append(0.0)
+                continue
+            a = d[i, own].sum() / (own.sum() - 1)
+            b = min(d[i, label == k].mean() for k in set(label) - {label[i]})
+            s.append((b - a) / max(a, b))
+        assert r.silhouette == pytest.approx(np.mean(s), abs=1e-4)
+
+
 @pytest.mark.parametrize("leaf_rows", [6, 2048])
 def test_single_linkage_is_dbscan_with_one_point(spark, leaf_rows):
     pdf = points(seed=3)
