@@ -431,11 +431,6 @@ def _forest_grid(s, d):
     return models.grid_search(train, CLASS_FEATURES, "random_forest", grid)[1]
 
 
-def _svm_grid(s, d):
-    train, _ = _sets(s, d)
-    return models.svm_grid_search(train, CLASS_FEATURES, cs=[0.01 + 0.1 * i for i in range(9)])
-
-
 _add("decision_tree_scores", _tree_scores)
 _add("random_forest_scores", _forest_scores)
 _add("tree_leaf_profile", _leaves)
@@ -444,4 +439,3 @@ _add("mlp_scores", _mlp_scores)
 _add("grid_search_decision_tree", _grid)
 _add("grid_search_knn", _knn_grid)
 _add("grid_search_random_forest", _forest_grid)
-_add("grid_search_rbf_svm", _svm_grid)
