@@ -165,7 +165,7 @@ _add(
 )
 _add(
     "distinct_countries",
-    lambda s, d: quality.distinct_sorted(lines(s, d), "country"),
+    lambda s, d: quality.distinct_sorted(lines(s, d, "country"), "country"),
     with_lines("SELECT DISTINCT country FROM lines ORDER BY 1"),
 )
 _add(
@@ -196,12 +196,12 @@ FROM {rel} WHERE {where}{f' GROUP BY {by}' if by else ''}"""
 
 _add(
     "describe_lines",
-    lambda s, d: stats.describe(lines(s, d), ["qta", "sale"]),
+    lambda s, d: stats.describe(lines(s, d, "qta", "sale"), ["qta", "sale"]),
     with_lines(_describe_sql("lines", "qta", "qta") + "\nUNION ALL\n" + _describe_sql("lines", "sale", "sale")),
 )
 _add(
     "describe_lines_filtered",
-    lambda s, d: stats.describe(lines(s, d), ["sale"], where=F.abs("qta") < 20),
+    lambda s, d: stats.describe(lines(s, d, "qta", "sale"), ["sale"], where=F.abs("qta") < 20),
     with_lines(_describe_sql("lines", "sale", "sale", where="abs(qta) < 20")),
 )
 _add(
@@ -211,7 +211,7 @@ _add(
 )
 _add(
     "quantiles_sale",
-    lambda s, d: stats.quantiles(lines(s, d), "sale", [0.8, 0.85, 0.9, 0.95]),
+    lambda s, d: stats.quantiles(lines(s, d, "sale"), "sale", [0.8, 0.85, 0.9, 0.95]),
     with_lines(
         "SELECT "
         + ", ".join(f"{rnd(f'quantile_cont(CAST(sale AS DOUBLE), {q})', 4)} AS p{round(q * 100)}" for q in (0.8, 0.85, 0.9, 0.95))
@@ -220,7 +220,7 @@ _add(
 )
 _add(
     "quantiles_distinct_sale",
-    lambda s, d: stats.quantiles(lines(s, d), "sale", [0.25, 0.5], distinct=True),
+    lambda s, d: stats.quantiles(lines(s, d, "sale"), "sale", [0.25, 0.5], distinct=True),
     with_lines(
         "SELECT "
         + ", ".join(f"{rnd(f'quantile_cont(CAST(sale AS DOUBLE), {q})', 4)} AS p{round(q * 100)}" for q in (0.25, 0.5))
@@ -229,7 +229,7 @@ _add(
 )
 _add(
     "value_counts_quantity",
-    lambda s, d: stats.value_counts(lines(s, d), F.col("qta"), order="value"),
+    lambda s, d: stats.value_counts(lines(s, d, "qta"), F.col("qta"), order="value"),
     with_lines("SELECT qta AS value, count(*) AS n FROM lines GROUP BY qta"),
 )
 
@@ -249,12 +249,12 @@ FROM h_b, (SELECT unnest(range(1, {bins + 1})) AS bin) g LEFT JOIN h_c ON h_c.bi
 
 _add(
     "histogram_sale",
-    lambda s, d: stats.histogram(lines(s, d), "sale", 50, high=10000.0),
+    lambda s, d: stats.histogram(lines(s, d, "sale"), "sale", 50, high=10000.0),
     with_lines("," + _histogram_sql("lines", "sale", 50, "CAST(sale AS DOUBLE) < 10000")),
 )
 _add(
     "histogram_quantity",
-    lambda s, d: stats.histogram(lines(s, d), "qta", 100, low=-100.0, high=100.0),
+    lambda s, d: stats.histogram(lines(s, d, "qta"), "qta", 100, low=-100.0, high=100.0),
     with_lines("," + _histogram_sql("lines", "qta", 100, "qta > -100 AND qta < 100")),
 )
 _add(
@@ -285,10 +285,10 @@ SELECT {lead}count(*) AS n, {rnd('max(q1)', 4)} AS q1, {rnd('max(median)', 4)} A
 FROM bx {join}{group}"""
 
 
-_add("box_stats_sale", lambda s, d: stats.box_stats(lines(s, d), "sale"), with_lines("," + _box_sql("lines", "sale")))
+_add("box_stats_sale", lambda s, d: stats.box_stats(lines(s, d, "sale"), "sale"), with_lines("," + _box_sql("lines", "sale")))
 _add(
     "box_stats_quantity_by_country",
-    lambda s, d: stats.box_stats(lines(s, d), "qta", by=["country"]),
+    lambda s, d: stats.box_stats(lines(s, d, "qta", "country"), "qta", by=["country"]),
     with_lines("," + _box_sql("lines", "qta", "country")),
 )
 _CORR = ["qta", "sale", "basket_id", "customer_id"]
@@ -386,7 +386,7 @@ _add("country_activity_matrix", lambda s, d: rollups.activity_matrix(lines(s, d)
 for _n, _f, _o in (("purchased", "qta > 0", "DESC"), ("returned", "qta < 0", "ASC")):
     _add(
         f"top_{_n}",
-        lambda s, d, n=_n: getattr(rollups, f"top_{n}")(lines(s, d)),
+        lambda s, d, n=_n: getattr(rollups, f"top_{n}")(lines(s, d, "prod_descr", "qta")),
         with_lines(
             f"""SELECT prod_descr, CAST(sum(qta) AS BIGINT) AS qta FROM lines WHERE {_f}
 GROUP BY 1 ORDER BY 2 {_o}, 1 LIMIT 10"""
@@ -394,12 +394,12 @@ GROUP BY 1 ORDER BY 2 {_o}, 1 LIMIT 10"""
     )
 _add(
     "distinct_products",
-    lambda s, d: rollups.distinct_products(lines(s, d)),
+    lambda s, d: rollups.distinct_products(lines(s, d, "prod_id")),
     with_lines("SELECT count(DISTINCT prod_id) AS n_products FROM lines"),
 )
 _add(
     "word_frequency_products",
-    lambda s, d: rollups.word_frequency(lines(s, d)),
+    lambda s, d: rollups.word_frequency(lines(s, d, "prod_descr")),
     with_lines(
         r"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(prod_descr, '\s+')) AS word FROM lines)
 WHERE word NOT IN ('', 'SET', 'OF') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
@@ -416,17 +416,17 @@ WHERE word NOT IN ('', 'SET', 'OF') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
 )
 _add(
     "catalog_prices",
-    lambda s, d: rollups.catalog_prices(lines(s, d)),
+    lambda s, d: rollups.catalog_prices(lines(s, d, "prod_id", "sale")),
     with_lines(_describe_sql("(SELECT DISTINCT prod_id, sale FROM lines)", "sale", "sale")),
 )
 _add(
     "buy_return_split",
-    lambda s, d: rollups.buy_return_split(lines(s, d)),
+    lambda s, d: rollups.buy_return_split(lines(s, d, "qta")),
     with_lines(_describe_sql("(SELECT qta, qta > 0 AS bought FROM lines)", "qta", "qta", by="bought")),
 )
 _add(
     "basket_totals",
-    lambda s, d: rollups.basket_totals(lines(s, d)),
+    lambda s, d: rollups.basket_totals(lines(s, d, "basket_id", "qta", "sale")),
     with_lines(
         """SELECT basket_id, CAST(sum(qta) AS BIGINT) AS qta, CAST(sum(qta * sale) AS DOUBLE) AS amount
 FROM lines GROUP BY 1"""

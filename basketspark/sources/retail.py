@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import stored
 
+LINE_COLUMNS = ("basket_id", "prod_id", "prod_descr", "sale", "qta", "purchase_ts", "customer_id", "country")
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
+def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Clean-typed purchase lines; returned lines carry a negative quantity.
 
+    ``columns`` names the ones to return, all by default. Only the tables they come from are joined, which gives
+    the same lines as all of them because every line has its part, order, customer and nation.
+
     The unit price is integer arithmetic (four decimals, truncated), so sums stay exact.
     """
     li = table(spark, folder, "lineitem").select(
@@ -25,27 +30,37 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     na = table(spark, folder, "nation").select("n_nationkey", "n_name")
     pa = table(spark, folder, "part").select("p_partkey", "p_name")
     units = F.col("l_quantity").cast("int")
-    return (
-        li.join(pa, F.col("l_partkey") == F.col("p_partkey"))
-        .join(od, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cu, F.col("o_custkey") == F.col("c_custkey"))
-        .join(na, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("l_orderkey").alias("basket_id"),
-            F.col("l_partkey").cast("string").alias("prod_id"),
-            F.upper("p_name").alias("prod_descr"),
+    wanted = set(columns or LINE_COLUMNS)
+    joined = li
+    if "prod_descr" in wanted:
+        joined = joined.join(pa, F.col("l_partkey") == F.col("p_partkey"))
+    if wanted & {"purchase_ts", "customer_id", "country"}:
+        joined = joined.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
+    if "country" in wanted:
+        joined = joined.join(cu, F.col("o_custkey") == F.col("c_custkey"))
+        joined = joined.join(na, F.col("c_nationkey") == F.col("n_nationkey"))
+    made = dict(
+        zip(
+            LINE_COLUMNS,
             (
-                F.expr("cast((cast(round(l_extendedprice * 100) as bigint) * 100) div cast(l_quantity as bigint) as decimal(18,0))")
-                * F.expr("cast(0.0001 as decimal(5,4))")
-            )
-            .cast("decimal(18,4)")
-            .alias("sale"),
-            F.when(F.col("l_returnflag") == "R", -units).otherwise(units).cast("long").alias("qta"),
-            F.col("o_orderdate").alias("purchase_ts"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("n_name").alias("country"),
+                F.col("l_orderkey").alias("basket_id"),
+                F.col("l_partkey").cast("string").alias("prod_id"),
+                F.upper("p_name").alias("prod_descr"),
+                (
+                    F.expr("cast((cast(round(l_extendedprice * 100) as bigint) * 100) div cast(l_quantity as bigint) as decimal(18,0))")
+                    * F.expr("cast(0.0001 as decimal(5,4))")
+                )
+                .cast("decimal(18,4)")
+                .alias("sale"),
+                F.when(F.col("l_returnflag") == "R", -units).otherwise(units).cast("long").alias("qta"),
+                F.col("o_orderdate").alias("purchase_ts"),
+                F.col("o_custkey").alias("customer_id"),
+                F.col("n_name").alias("country"),
+            ),
+            strict=True,
         )
     )
+    return joined.select(*[c for name, c in made.items() if name in wanted])
 
 
 def stored_lines(spark: SparkSession, folder: str) -> DataFrame:
