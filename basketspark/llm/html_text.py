@@ -172,7 +172,8 @@ def page_templates(
     A token's occurrence vector, one entry for each distinct page of the host, is compared by the XOR of hashes of
     its entries, which partial sums make without bringing a host's pages together. Kept are tokens found once each
     in at least ``min_pages`` pages and ``support`` of the host's pages, in classes of two or more. So a template
-    has no more tokens than ``1 / support`` average pages. Pages without a host have no template.
+    has no more tokens than ``1 / support`` average pages. An article element in that many pages is kept however
+    often some page has it, in a class of its own if need be. Pages without a host have no template.
     """
     rows = _with_host(pages, url_col, html_col).where("_host IS NOT NULL")
     rows = rows.select(F.col("_host").alias("host"), F.xxhash64("_html").alias("page"), F.col("_html").alias("html"))
@@ -186,10 +187,11 @@ def page_templates(
         F.expr("count(DISTINCT entry)").alias("n"),
         F.expr("bit_xor(DISTINCT entry)").alias("cls"),
     )
-    found = found.where((F.col("most") == 1) & (F.col("n") >= min_pages)).join(size, "host")
+    article = F.col("path").rlike(f"/({'|'.join(sorted(_MAIN))})$")
+    found = found.where(((F.col("most") == 1) | article) & (F.col("n") >= min_pages)).join(size, "host")
     found = found.where(F.col("n") >= support * F.col("pages"))
-    alone = found.groupBy("host", "cls").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("host", "cls")
-    return found.join(alone, ["host", "cls"]).select("host", "token", "path", "cls", "place")
+    per_class = found.groupBy("host", "cls").agg(F.count(F.lit(1)).alias("k"))
+    return found.join(per_class, ["host", "cls"]).where((F.col("k") > 1) | article).select("host", "token", "path", "cls", "place")
 
 
 def matched(template: list[dict], sequence: list[int]) -> set[int]:
@@ -217,25 +219,24 @@ def matched(template: list[dict], sequence: list[int]) -> set[int]:
     return {sequence[i] for x in taken for i in x}
 
 
-def _frame(path: str, elements: set[str]) -> str:
-    """The innermost template element around a path, or nothing."""
-    while path and path not in elements:
-        path = path.rpartition("/")[0]
-    return path
+def _article(path: str) -> str:
+    """The outermost article element of a path, or nothing."""
+    parts = path.split("/")
+    return next(("/".join(parts[: k + 1]) for k, tag in enumerate(parts) if tag in _MAIN), "")
 
 
 def main_text(page: str, template: list[dict]) -> str:
     """The texts in the template's article slots.
 
-    Slots are what the template's tokens leave of a page; each has the role of the innermost template element around
-    it, and texts that are template tokens or lie in a region to leave out belong to none. If no slot lies in an
-    article of the template, an article of the page's own counts (few or odd pages), and after that all slots.
+    Slots are what the template's tokens leave of a page; texts that are template tokens or lie in a region to leave
+    out belong to none. An article is the template's if it or any element in it is. If no slot lies in an article of
+    the template, an article of the page's own counts (few or odd pages), and after that all slots.
     """
     found, texts = _sequence(page)
     known = matched(template, [t for t, _ in found]) if template else set()
-    elements = {path for token, path in found if token in known}
+    articles = {_article(path) for token, path in found if token in known} - {""}
     slots = [b for b in texts if not b.dropped and _text_token(b) not in known]
-    article = [b for b in slots if not _MAIN.isdisjoint(_frame(b.path, elements).split("/"))]
+    article = [b for b in slots if _article(b.path) in articles]
     return " ".join(b.text for b in article or [b for b in slots if b.main] or slots)
 
 

@@ -260,6 +260,20 @@ def test_template_slots_decide():
     assert html_text.main_text(plain, both) == "a b" and html_text.main_text(plain, []) == "Site a b Rights"
 
 
+def test_one_page_with_two_articles_leaves_the_host_whole(spark):
+    page = "<html><body><div>Site</div><article><h1>Head {i}</h1><p>first {i}</p><p>second {i}</p></article>{more}</body></html>"
+    card = "<article><h2>Card</h2></article>"
+    rows = [(i, f"https://h.example/{i}", page.replace("{more}", card if i == 4 else "").replace("{i}", str(i))) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert got == {i: f"Head {i} first {i} second {i}" + " Card" * (i == 4) for i in range(9)}
+    assert "/html/body/article" in {r.path for r in html_text.page_templates(pages).collect()}
+    # a template that has only the headline still tells where the article is
+    found = [t for t, path in html_text._sequence(rows[0][2])[0] if path.endswith(("/html", "/body", "/h1"))]
+    template = [{"cls": 1, "token": t, "place": i} for i, t in enumerate(found)]
+    assert html_text.main_text(rows[0][2], template) == got[0]
+
+
 def test_tiles_are_greedy_and_longest_first():
     r = np.random.default_rng(3)
     for _ in range(60):
