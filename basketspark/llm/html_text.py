@@ -140,9 +140,9 @@ def _text_token(b: Block) -> int:
 
 
 def _sequence(page: str) -> tuple[list[tuple[int, str]], list[Block]]:
-    """A page's tokens that can belong to a template, with paths: its block tags, and its texts outside an article."""
+    """A page's tokens that can belong to a template, with paths: its block tags and its texts."""
     tags, texts = blocks(page)
-    return [(_hash(t), t) for t in tags] + [(_text_token(b), b.path + "/#") for b in texts if not b.main], texts
+    return [(_hash(t), t) for t in tags] + [(_text_token(b), b.path + "/#") for b in texts], texts
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +230,16 @@ def main_text(page: str, template: list[dict]) -> str:
 
     Slots are what the template's tokens leave of a page; texts that are template tokens or lie in a region to leave
     out belong to none. An article is the template's if it or any element in it is. If no slot lies in an article of
-    the template, an article of the page's own counts (few or odd pages), and after that all slots.
+    the template, an article of the page's own counts (few or odd pages), then, if the template covers all of the
+    page's articles (copies of one page), their texts all the same, and after that all slots.
     """
     found, texts = _sequence(page)
     known = matched(template, [t for t, _ in found]) if template else set()
     articles = {_article(path) for token, path in found if token in known} - {""}
     slots = [b for b in texts if not b.dropped and _text_token(b) not in known]
     article = [b for b in slots if _article(b.path) in articles]
-    return " ".join(b.text for b in article or [b for b in slots if b.main] or slots)
+    own = [b for b in texts if b.main and not b.dropped]
+    return " ".join(b.text for b in article or [b for b in slots if b.main] or own or slots)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -274,6 +274,15 @@ def test_one_page_with_two_articles_leaves_the_host_whole(spark):
     assert html_text.main_text(rows[0][2], template) == got[0]
 
 
+def test_notices_repeated_inside_the_article_are_template(spark):
+    page = "<html><body><div>Site</div><main><p>Read us daily</p><h1>Head {i}</h1><p>text {i}</p><p>All rights kept</p></main></body></html>"
+    copy = "<html><body><div>Own {i}</div><main><h1>Same</h1><p>one text</p></main></body></html>"
+    rows = [(i, f"https://h.example/{i}", page.replace("{i}", str(i))) for i in range(6)]
+    rows += [(10 + i, f"https://copies.example/{i}", copy.replace("{i}", str(i))) for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i} text {i}" for i in range(6)} | {10 + i: "Same one text" for i in range(4)}
+
+
 def test_tiles_are_greedy_and_longest_first():
     r = np.random.default_rng(3)
     for _ in range(60):
