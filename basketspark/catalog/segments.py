@@ -320,40 +320,43 @@ def _standard(s, d):
     return features.cluster_input(_rfm(s, d), RFM)
 
 
+# the published settings
+DBSCAN_EPS, DBSCAN_MIN_PTS = [x / 1000 for x in range(10, 100)], list(range(2, 10))
+NOT_NUMERIC = ("customer_id", "item_pref", "main_country", "weekday_pref", "weekmonth_pref", "p_return")
+
+
 def _dbscan_grid(s, d):
-    return density.dbscan_grid(_scaled(s, d), RFM, eps_values=[0.04, 0.06], min_pts_values=[3, 5])
+    return density.dbscan_grid(_scaled(s, d), RFM, eps_values=DBSCAN_EPS, min_pts_values=DBSCAN_MIN_PTS)
+
+
+def _feature_search(s, d):
+    found = profile.customer_profile(stored_lines(s, d))
+    cols = [c for c in found.columns if c not in NOT_NUMERIC]
+    return partition.feature_search(features.cluster_input(found, cols, "min_max"), cols)
 
 
 _add("dbscan_grid", _dbscan_grid)
-_add("kmeans_restarts", lambda s, d: partition.kmeans(_standard(s, d), RFM, 5, n_init=3)[0].select("customer_id", "cluster"))
-_add("elbow", lambda s, d: partition.elbow(_standard(s, d), RFM, ks=range(2, 6), n_init=1))
 _add(
-    "feature_search",
-    lambda s, d: partition.feature_search(
-        features.min_max_scale(
-            profile.basket_features(lines(s, d)), ["recency", "frequency", "monetary", "max_sale"]
-        ),
-        ["recency", "frequency", "monetary", "max_sale"],
-        ks=(3, 4),
-        n_init=1,
-        max_iter=50,
-    ),
+    "kmeans_restarts",
+    lambda s, d: partition.kmeans(_standard(s, d), RFM, 5, n_init=100, max_iter=1000)[0].select("customer_id", "cluster"),
 )
-_add("xmeans", lambda s, d: partition.xmeans(_scaled(s, d), RFM, k_max=8)[0].select("customer_id", "cluster"))
+_add("elbow", lambda s, d: partition.elbow(_standard(s, d), RFM))
+_add("feature_search", _feature_search)
+_add("xmeans", lambda s, d: partition.xmeans(_scaled(s, d), RFM)[0].select("customer_id", "cluster"))
 
 
 def _fuzzy_search(s, d):
     pts = _scaled(s, d)
     start = partition.farthest_start(pts, RFM, 5)
-    return partition.fuzzy_cmeans(pts, RFM, start, 2.0, 10)[0].select("customer_id", "cluster", "memberships")
+    return partition.fuzzy_cmeans(pts, RFM, start, 2.0)[0].select("customer_id", "cluster", "memberships")
 
 
 _add("fuzzy_cmeans_farthest_start", _fuzzy_search)
-_add("gaussian_mixture", lambda s, d: partition.gaussian_mixture(_scaled(s, d), RFM, 5, max_iter=20)[0])
-_add("gaussian_mixture_components", lambda s, d: partition.gaussian_mixture(_scaled(s, d), RFM, 5, max_iter=20)[1])
+_add("gaussian_mixture", lambda s, d: partition.gaussian_mixture(_scaled(s, d), RFM, 5)[0])
+_add("gaussian_mixture_components", lambda s, d: partition.gaussian_mixture(_scaled(s, d), RFM, 5)[1])
 _add(
     "evolved_centres",
     lambda s, d: partition.evolve_centres(
-        features.min_max_scale(_rfm(s, d), RFM, 0.01, 0.99), RFM, 4, population=20, generations=5
+        features.min_max_scale(_rfm(s, d), RFM, 0.01, 0.99), RFM
     )[0].select("customer_id", "cluster"),
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rnd as rnd_col
@@ -106,7 +109,7 @@ _add(
 _add(
     "spending_classes_restarts",
     lambda s, d: labels.spending_classes(
-        stored(_profile(s, d)), MIN_BASKETS, CAP, HIGH, n_init=3, max_iter=50
+        stored(_profile(s, d)), MIN_BASKETS, CAP, HIGH, n_init=1000, max_iter=1000
     ).select("customer_id", "label"),
 )
 _add(
@@ -414,10 +417,30 @@ def _mlp_scores(s, d):
     return models.train_test_scores(model, train, test)
 
 
+# the published settings that Spark's trees have
+TREE_GRID = {"impurity": ["gini", "entropy"], "maxDepth": list(range(10, 31))}
+FOREST_GRID = {
+    "impurity": ["entropy", "gini"],
+    "maxDepth": list(range(2, 20)),
+    "minInstancesPerNode": list(range(1, 10)),
+    "bootstrap": [True, False],
+}
+CLASS_WEIGHTS = {"balanced": "balanced", "none": None, "0.1 0.3 0.6": {0: 0.1, 1: 0.3, 2: 0.6}}
+
+
+def _weighted_search(train, estimator, grid):
+    parts = [
+        models.grid_search(train, CLASS_FEATURES, estimator, grid, weights)[1].withColumn(
+            "setting", F.concat("setting", F.lit(f", weights={name}"))
+        )
+        for name, weights in CLASS_WEIGHTS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("accuracy"), "setting")
+
+
 def _grid(s, d):
     train, _ = _sets(s, d)
-    grid = {"impurity": ["gini", "entropy"], "maxDepth": [5, 10]}
-    return models.grid_search(train, CLASS_FEATURES, "decision_tree", grid)[1]
+    return _weighted_search(train, "decision_tree", TREE_GRID)
 
 
 def _knn_grid(s, d):
@@ -427,8 +450,7 @@ def _knn_grid(s, d):
 
 def _forest_grid(s, d):
     train, _ = _sets(s, d)
-    grid = {"impurity": ["gini", "entropy"], "maxDepth": [5, 10], "bootstrap": [True, False]}
-    return models.grid_search(train, CLASS_FEATURES, "random_forest", grid)[1]
+    return _weighted_search(train, "random_forest", FOREST_GRID)
 
 
 _add("decision_tree_scores", _tree_scores)
