@@ -47,11 +47,11 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at, x in ((w.first, w.hash), (cut, seeds))
             ]
             ids = batch.column(0).slice(w.rows.start, len(w.rows))
-            yield pa.RecordBatch.from_arrays([ids, *lists], names=["item_id", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([ids, *lists], names=["item", "words", "seeds"])
 
 
 def _runs_of_seeds(bitmap: np.ndarray):
-    """Stretches of a document whose every five words may be a seed: (doc_id, at, words, seeds)."""
+    """Stretches of a document whose every five words may be a seed: (doc, doc_id, at, words, seeds)."""
     mask = np.uint64((1 << MAP_BITS) - 1)
 
     def hit(h: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def _runs_of_seeds(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter("letters")
         for batch in batches:
-            for w in split.slices(batch.column(1)):
+            for w in split.slices(batch.column(2)):
                 seeds, begin = _long_seeds(w)
                 kept = hit(seeds)
                 seeds, begin = seeds[kept], begin[kept]
@@ -75,14 +75,16 @@ def _runs_of_seeds(bitmap: np.ndarray):
                 lo = np.flatnonzero(new)
                 hi = np.append(lo[1:], len(begin))
                 words = [w.hash[begin[a] : begin[b - 1] + MIN_TILE].view(np.int64) for a, b in zip(lo, hi, strict=True)]
+                rows = pa.array(w.rows.start + text[lo])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(w.rows.start + text[lo])),
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
                         pa.array(begin[lo] - w.first[text[lo]]),
                         pa.array(words, pa.list_(pa.int64())),
                         pa.array([seeds[a:b].view(np.int64) for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "at", "words", "seeds"],
+                    names=["doc", "doc_id", "at", "words", "seeds"],
                 )
 
     return run
@@ -141,55 +143,78 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tup
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gap = np.zeros(1, np.uint64)
     for pair in runs(batches, 2):
-        item = np.array(pair.column("item")[0].as_py(), np.int64).view(np.uint64)
+        item = np.array(pair.column("item_words")[0].as_py(), np.int64).view(np.uint64)
         parts = [np.array(x, np.int64).view(np.uint64) for x in pair.column("words").to_pylist()]
         text = np.concatenate([y for x in parts for y in (x, gap)])
         got = tiles(item, text)
         yield pa.RecordBatch.from_arrays(
             [
-                pair.column("doc_id").combine_chunks()[:1],
-                pair.column("item_id").combine_chunks()[:1],
+                pair.column("doc").combine_chunks()[:1],
+                pair.column("item").combine_chunks()[:1],
                 pa.array([len(item)], pa.int64()),
                 pa.array([sum(n for _, _, n in got)], pa.int64()),
                 pa.array([len(got)], pa.int64()),
             ],
-            names=["doc_id", "item_id", "n_words", "n_covered", "n_tiles"],
+            names=["doc", "item", "n_words", "n_covered", "n_tiles"],
         )
 
 
-def contaminated(
+def contaminated_texts(
     docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
-) -> DataFrame:
-    """(doc_id, item_id, n_words, n_covered, n_tiles, coverage) of pairs with ``coverage`` of the item's words tiled.
+    item_text_col: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of texts, named by their hash, with ``coverage`` of the item's words tiled, and ids of texts with seeds.
 
-    Null and empty texts match nothing, and neither do items of fewer than ``MIN_TILE`` words. Rows without an id are
-    left out. Rows repeating an id count as one document (their tiles add to one another), likewise items. Other
-    columns are ignored; an empty table on either side gives no rows.
+    The first is (doc, item, n_words, n_covered, n_tiles, coverage), the second (doc, doc_id). Copies of a text are
+    tiled once. A text's hash is ``xxhash64`` of it.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    items = items.where("item_id IS NOT NULL").dropDuplicates(["item_id"])
-    items = stable(items.mapInArrow(_item_words, "item_id long, words array<long>, seeds array<long>"))
-    seeds = stable(items.select("item_id", F.explode("seeds").alias("seed")).distinct())
+    items = benchmark.select(F.xxhash64(item_text_col).alias("item"), F.col(item_text_col).alias("text"))
+    items = items.where("text IS NOT NULL").dropDuplicates(["item"])
+    items = stable(items.mapInArrow(_item_words, "item long, words array<long>, seeds array<long>"))
+    seeds = stable(items.select("item", F.explode("seeds").alias("seed")).distinct())
     slots = F.explode(F.expr(f"transform(array(0, 20, 40), k -> shiftrightunsigned(seed, k) & {(1 << MAP_BITS) - 1}L)"))
     bits = seeds.select(slots.alias("slot")).groupBy(F.expr("slot div 64").alias("at"))
     bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("word"))
     bitmap = np.zeros(1 << (MAP_BITS - 6), np.int64)
     for row in bits.collect():  # at most 2**17 rows, however large the benchmark
         bitmap[row["at"]] = row["word"]
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = texts.where("doc_id IS NOT NULL").mapInArrow(
-        _runs_of_seeds(bitmap.view(np.uint64)), "doc_id long, at long, words array<long>, seeds array<long>"
+    texts = docs.select(
+        F.xxhash64(text_col).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
-    found = stable(found)
-    named = found.select("doc_id", "at", F.explode("seeds").alias("seed")).join(broadcast_if_small(seeds), "seed")
-    named = named.select("doc_id", "at", "item_id").distinct()
-    pairs = named.join(found.select("doc_id", "at", "words"), ["doc_id", "at"])
-    pairs = pairs.join(broadcast_if_small(items.select("item_id", F.col("words").alias("item")), 1000), "item_id")
+    found = stable(
+        texts.mapInArrow(
+            _runs_of_seeds(bitmap.view(np.uint64)), "doc long, doc_id long, at long, words array<long>, seeds array<long>"
+        )
+    )
+    parts = stable(found.select("doc", "at", "words", "seeds").dropDuplicates(["doc", "at"]))
+    named = parts.select("doc", "at", F.explode("seeds").alias("seed")).join(broadcast_if_small(seeds), "seed")
+    named = named.select("doc", "at", "item").distinct()
+    pairs = named.join(parts.select("doc", "at", "words"), ["doc", "at"])
+    pairs = pairs.join(broadcast_if_small(items.select("item", F.col("words").alias("item_words")), 1000), "item")
     # few bytes but much work a row: keep the tasks that adaptive execution would merge
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.select("doc_id", "item_id", "at", "words", "item").repartition(tasks, "doc_id", "item_id")
-    tiled = dealt.sortWithinPartitions("doc_id", "item_id", "at").mapInArrow(
-        _tile, "doc_id long, item_id long, n_words long, n_covered long, n_tiles long"
+    dealt = pairs.select("doc", "item", "at", "words", "item_words").repartition(tasks, "doc", "item")
+    tiled = dealt.sortWithinPartitions("doc", "item", "at").mapInArrow(
+        _tile, "doc long, item long, n_words long, n_covered long, n_tiles long"
     )
-    return tiled.withColumn("coverage", F.col("n_covered") / F.col("n_words")).where(F.col("coverage") >= coverage)
+    tiled = tiled.withColumn("coverage", F.col("n_covered") / F.col("n_words")).where(F.col("coverage") >= coverage)
+    return stable(tiled), found.select("doc", "doc_id")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, item_id, n_words, n_covered, n_tiles, coverage) of pairs with ``coverage`` of the item's words tiled.
+
+    Null and empty texts match nothing, and neither do items of fewer than ``MIN_TILE`` words. Every text is searched
+    for on its own, whether its id is null or has other texts too: one row for each different text of an id, on both
+    sides, and one for all rows that repeat id and text. Other columns are ignored; an empty table on either side
+    gives no rows.
+    """
+    pairs, ids = contaminated_texts(docs, benchmark, coverage, id_col, text_col, item_text_col)
+    names = benchmark.select(F.xxhash64(item_text_col).alias("item"), F.col(item_col).cast("long").alias("item_id"))
+    ids = ids.join(broadcast_if_small(pairs.select("doc").distinct()), "doc", "left_semi").distinct()
+    names = names.join(broadcast_if_small(pairs.select("item").distinct()), "item", "left_semi").distinct()
+    named = ids.join(broadcast_if_small(pairs), "doc").join(broadcast_if_small(names), "item")
+    return named.select("doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage")

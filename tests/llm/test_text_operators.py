@@ -319,6 +319,18 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated(table(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_contamination_with_repeated_and_missing_ids(spark, tmp_path):
+    a, b, c = (prose(k, 30, 10**6) for k in (91, 92, 93))
+    bench = spark.createDataFrame([(1, a), (1, b), (1, b), (None, c)], "item_id long, text string")
+    texts = [(5, a), (5, f"{prose(1, 20)} {b}"), (5, prose(2, 60)), (None, c), (None, prose(3, 60)), (7, c), (7, c)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id or 0, r.item_id or 0, r.n_covered, r.n_tiles) for r in decontaminate.contaminated(docs, bench).collect()]
+    assert sorted(got) == [(0, 0, 30, 1), (5, 1, 30, 1), (5, 1, 30, 1), (7, 0, 30, 1)]
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and {tuple(r) for r in left.collect()} == {texts[2], texts[4]}
+
+
 def test_quality_is_learned(spark):
     docs, labels = (spark.read.parquet("/root/testdata/sf0.01/" + t + ".parquet") for t in ("documents", "labels"))
     apart = language.held_out("doc_id", 3, 1)
