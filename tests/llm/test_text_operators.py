@@ -146,6 +146,35 @@ def test_licences_against_all_windows(spark):
     assert licences.scan_licences(table(spark, texts).limit(0)).count() == 0
 
 
+def test_licences_inside_longer_lines(spark):
+    named = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "AGPL-3.0-notice", "LGPL-3.0-notice", "CC0-1.0-notice", "Apache-2.0", "GPL-3.0", "MPL-2.0"]
+    texts = ["Copyright 2020 X. Released under the MIT License."]
+    texts += [f"{prose(1, 300)} {' '.join(licences.TEMPLATES[n].split())} {prose(2, 400)}" for n in named]
+    got = {(r.doc_id, r.licence): (r.dice, r.line_from, r.line_to) for r in licences.scan_licences(table(spark, texts)).collect()}
+    assert got[100, "MIT-line"] == (1, 0, 0)
+    assert all(got[101 + i, n] == (1, 0, 0) for i, n in enumerate(named))
+
+
+def test_best_licence_window_equals_all_windows():
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        vocabulary = "a b c d e".split()
+        template = " ".join(r.choice(vocabulary, r.integers(3, 9)))
+        scanner = licences.Scanner({"t": template}, 0.6)
+        w = list(r.choice([*vocabulary, "x"], 25))
+        (cut,) = scanner.split.slices(pa.array([" ".join(w)]))
+        line = np.arange(len(w))
+        got = scanner.best(licences._bigrams(cut.hash), line, scanner.bags[0])
+        a, best = Counter(zip(template.split(), template.split()[1:], strict=False)), None
+        for x in range(len(w) - 1):
+            for y in range(x + 1, len(w)):
+                b = Counter(zip(w[x:y], w[x + 1 : y + 1], strict=True))
+                dice = 2 * sum((a & b).values()) / (sum(a.values()) + y - x)
+                if dice >= 0.6 and (best is None or dice > best[0]):
+                    best = (dice, x, y, y - x)
+        assert got == best
+
+
 def test_mixing_hits_targets_and_repeats_itself(spark):
     r = np.random.default_rng(4)
     rows = [(i, prose(i, int(n)), s) for i, (n, s) in enumerate(zip(r.integers(0, 120, 600), r.choice(["a", "b", "c", None], 600, p=[0.6, 0.2, 0.1, 0.1]), strict=True))]
