@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_groups
 from .quality_model import learn_quality, score_quality
 from .sharding import byte_shards
+from .url_rules import judge_urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +80,14 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return judge_urls(_table(spark, folder, "pages"), rules).drop("alias_class")
+
+
 QUERIES = {
     "op1_near_dedup": near,
     "op2_licence_scan": licence_scan,
@@ -90,6 +99,7 @@ QUERIES = {
     "op8_quality_classifier": quality,
     "op9_sharding": sharding,
     "op10_language_id": language,
+    "op11_url_filter": url_verdicts,
 }
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,4 +139,30 @@ k AS (SELECT source, text, sum(len(string_split(x.line, ' '))) AS total,
 z AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b LEFT JOIN k USING (source, text))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(left_over < 0.3 * total, false) AS kept FROM z""",
+    # canonical links and refresh redirects to absolute urls; relative ones need the steps of urls' standard
+    "op11_url_filter": f"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)[\\s/][^>]*>')) AS tag FROM pages
+  WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+links AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link.*\\brel\\s*=\\s*["'']?canonical') THEN
+    regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]*)', 1)
+  WHEN regexp_matches(tag, '(?i)http-equiv\\s*=\\s*["'']?refresh') THEN
+    regexp_extract(tag, '(?i)url\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]*)', 1) ELSE '' END AS target FROM tags),
+names AS (SELECT url FROM pages UNION SELECT url FROM links UNION SELECT target FROM links),
+rest AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM names),
+parts AS (SELECT url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS query FROM rest),
+keys AS (SELECT url, host, path, CASE WHEN host <> '' THEN regexp_replace(host, ':(80|443)?$', '') ||
+  CASE WHEN path = '' THEN '/' ELSE path END || array_to_string(['?'] || list_filter(string_split(query, '&'),
+  lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)(=|$)')), '&') END AS id FROM parts),
+best AS (SELECT k.url, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS says
+  FROM keys k JOIN rules r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path) GROUP BY 1),
+ends AS (SELECT a.id AS u, b.id AS v FROM links l JOIN keys a ON a.url = l.url JOIN keys b ON b.url = l.target WHERE a.id <> b.id),
+both_ways AS (SELECT u, v FROM ends UNION SELECT v, u FROM ends),
+bad AS (SELECT id FROM keys JOIN best USING (url) WHERE says = 'block' AND id IS NOT NULL
+  UNION SELECT e.v FROM bad JOIN both_ways e ON e.u = bad.id)
+SELECT p.page_id, coalesce(k.host, '') AS host, coalesce(k.path, '') AS path, best.rule,
+  CASE WHEN best.says IS NOT NULL THEN best.says
+    WHEN k.id IN (SELECT e.u FROM both_ways e JOIN bad ON bad.id = e.v) THEN 'block' ELSE 'allow' END AS verdict
+FROM pages p LEFT JOIN keys k ON k.url = p.url LEFT JOIN best ON best.url = p.url""",
 }
