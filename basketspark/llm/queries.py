@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .chat_format import chat_digest, format_chats
+from .collocations import collocations
 from .decontaminate import contaminated
 from .html_text import extract_text
 from .language import held_out, learn_languages, predict_languages
@@ -88,6 +90,14 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"), rules).drop("alias_class")
 
 
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": near,
     "op2_licence_scan": licence_scan,
@@ -100,6 +110,8 @@ QUERIES = {
     "op9_sharding": sharding,
     "op10_language_id": language,
     "op11_url_filter": url_verdicts,
+    "op12_collocations": phrases,
+    "op13_token_alignment": token_alignment,
 }
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -165,4 +177,29 @@ SELECT p.page_id, coalesce(k.host, '') AS host, coalesce(k.path, '') AS path, be
   CASE WHEN best.says IS NOT NULL THEN best.says
     WHEN k.id IN (SELECT e.u FROM both_ways e JOIN bad ON bad.id = e.v) THEN 'block' ELSE 'allow' END AS verdict
 FROM pages p LEFT JOIN keys k ON k.url = p.url LEFT JOIN best ON best.url = p.url""",
+    # every phrase of one to five words, counted on its own
+    "op12_collocations": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.replace("text", "coalesce(text, '')", 1)},
+  '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+q AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+w AS (SELECT lang, piece, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM q),
+g AS (SELECT lang, w AS w1, {", ".join(f"lead(w, {i}) OVER o AS w{i + 1}" for i in range(1, 5))} FROM w
+  WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS ({" UNION ALL ".join(
+    f"SELECT lang, {k} AS size, {' || chr(32) || '.join(f'w{j}' for j in range(1, k + 1))} AS phrase, count(*) AS f FROM g "
+    f"WHERE w{k} IS NOT NULL GROUP BY ALL" for k in range(1, 6))}),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+h AS MATERIALIZED (SELECT * FROM f WHERE f >= 100),
+c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM h WHERE size > 1),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS u, array_to_string(w[k + 1:], ' ') AS v
+  FROM c, range(1, 5) x(k) WHERE k < size),
+s AS (SELECT cut.lang, cut.phrase, a, k, l.f AS l, r.f AS r, n,
+  CAST((1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN h l ON l.lang = cut.lang AND l.phrase = u JOIN h r ON r.lang = cut.lang AND r.phrase = v JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT c.lang, array_to_string(c.w[j:j + m - 1], ' ') AS phrase, c.a
+  FROM c, range(1, 5) y(j), range(2, 5) x(m) WHERE m < c.size AND j + m - 1 <= c.size),
+kept AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = b.lang AND d.phrase = b.phrase AND 100 * d.a >= 100 * b.a))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept)
+WHERE rank <= 2000""",
 }
