@@ -50,8 +50,10 @@ ROLES = (
     "toolbar topbar widget widgets"
 )
 
-_RAW, _INLINE, _VOID, _DROPPED, _MAIN, _ENDS_P, _ROLES = (
-    frozenset(x.split()) for x in (RAW, INLINE, VOID, DROPPED, MAIN, ENDS_P, ROLES)
+LABELS = "h1 h2 h3 h4 h5 h6 dt th caption summary label legend figcaption"
+
+_RAW, _INLINE, _VOID, _DROPPED, _MAIN, _ENDS_P, _ROLES, _LABELS = (
+    frozenset(x.split()) for x in (RAW, INLINE, VOID, DROPPED, MAIN, ENDS_P, ROLES, LABELS)
 )
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -225,21 +227,48 @@ def _article(path: str) -> str:
     return next(("/".join(parts[: k + 1]) for k, tag in enumerate(parts) if tag in _MAIN), "")
 
 
+def _without_notices(texts: list[Block], known: set[int]) -> list[Block]:
+    """An article's texts without the template's own at its beginning and end; headings and labels always stay.
+
+    What all pages of a host say inside their articles is a section's heading or a field's name, if it isn't a notice put
+    before or after the article's own text.
+    """
+    kept = [_text_token(b) not in known or b.path.rsplit("/", 1)[-1] in _LABELS for b in texts]
+    own = [i for i, k in enumerate(kept) if k]
+    return texts[own[0] : own[-1] + 1] if own else []
+
+
+def _headed(texts: list[Block], known: set[int]) -> list[Block]:
+    """The slots, with headings of the template that stand right before one of them in the same element."""
+    slot = [not b.dropped and _text_token(b) not in known for b in texts]
+    keep = list(slot)
+    for i in range(len(texts) - 2, -1, -1):
+        parent, _, tag = texts[i].path.rpartition("/")
+        heads = tag in _LABELS and not texts[i].dropped and texts[i + 1].path.rpartition("/")[0] == parent
+        keep[i] = slot[i] or (heads and keep[i + 1])
+    return [b for b, k in zip(texts, keep, strict=True) if k]
+
+
 def main_text(page: str, template: list[dict]) -> str:
     """The texts in the template's article slots.
 
     Slots are what the template's tokens leave of a page; texts that are template tokens or lie in a region to leave
-    out belong to none. An article is the template's if it or any element in it is. If no slot lies in an article of
-    the template, an article of the page's own counts (few or odd pages), then, if the template covers all of the
-    page's articles (copies of one page), their texts all the same, and after that all slots.
+    out belong to none. An article is the template's if it or any element in it is; texts between its slots belong to
+    it, whether other pages have them too or not. If no slot lies in an article of the template, an article of the
+    page's own counts (few or odd pages), then, if the template covers all of the page's articles (copies of one page),
+    their texts all the same, and after that all slots with the headings right before them.
     """
     found, texts = _sequence(page)
     known = matched(template, [t for t, _ in found]) if template else set()
     articles = {_article(path) for token, path in found if token in known} - {""}
-    slots = [b for b in texts if not b.dropped and _text_token(b) not in known]
-    article = [b for b in slots if _article(b.path) in articles]
-    own = [b for b in texts if b.main and not b.dropped]
-    return " ".join(b.text for b in article or [b for b in slots if b.main] or own or slots)
+    inside = [(_article(b.path), b) for b in texts if b.main and not b.dropped]
+    own = [b for _, b in inside]
+    slots = [b for b in own if _text_token(b) not in known]
+    if slots:
+        of_template = {_article(b.path) for b in slots} & articles
+        chosen = [b for name, b in inside if name in of_template] if of_template else own
+        return " ".join(b.text for b in _without_notices(chosen, known))
+    return " ".join(b.text for b in own or _headed(texts, known))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
