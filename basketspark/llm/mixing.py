@@ -17,6 +17,8 @@ STEPS = 60
 CLOSE = 1e-6
 FINE = 18
 SWEEPS = 3
+EQUAL_PARTS = 1000
+EQUAL_ROWS = 16
 
 
 def _count_words(text: Column) -> Column:
@@ -124,26 +126,30 @@ def mix_sources(
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (``copies * size``).
 
     The rates of :func:`balance` are rounded to whole copies. Each document's fraction competes with a number that
-    its id decides: a source takes one copy more of its documents in that order while they fit into the target, and
+    its id and text decide: a source takes one copy more of its documents in that order while they fit into the target, and
     goes through the order again with the documents that still fit, the last of ``SWEEPS`` times also with those that
     have got theirs but are below the cap. Where to stop is found on
     sums over bins of the key, level by level, so a source of any length is never sorted or gathered. Texts are never shuffled or stored: sizes and ids decide, and the last pass
     applies the numbers of each source to the rows as they are read. Reruns give the same copies.
 
-    A null text has size 0 (copies of it take nothing), a null source is a source, rows repeating an id share its
-    rounding, an empty table gives no rows. Columns of ``docs`` that are called like a new one are replaced.
+    A null text has size 0 (copies of it take nothing), a null source is a source, an empty table gives no rows. Rows
+    equal in id and text share their rounding; where there are more than ``EQUAL_ROWS`` of them, and they hold so many of
+    the source's words that a target could fall among them, they are told apart by their places in the input, so which of
+    these equal rows is taken may change with the input's order. Missing and repeated ids are no matter otherwise. Columns of ``docs`` that are called like a new one are replaced.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in made]
-    size, draw = _count_words(F.col(text_col)), F.xxhash64(F.col(id_col), F.lit(23))
-    rows = stable(docs.select(F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw")))
+    size, same_row = _count_words(F.col(text_col)), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(23))
+    place = F.monotonically_increasing_id()
+    rows = stable(docs.select(F.col(source_col).alias("source"), size.alias("size"), same_row.alias("draw"), place.alias("place")))
     groups = stable(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     state = balance(groups, source_targets(totals, weights, share, cap), cap)
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
 
     small = small_side(state)
-    rated = rows.alias("d").join(small(state).alias("s"), same).select("d.*", "target", *_rounding(cap))
+    many = stable(_many_equal_rows(rows, totals))
+    rated = _told_apart(rows, many).alias("d").join(small(state).alias("s"), same).select("d.*", "target", *_rounding(cap))
     floors = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("base") * F.col("size"))).alias("room"))
     cuts = floors.select("source", "room", F.array().cast("array<struct<key:bigint,size:double>>").alias("cuts"))
     cuts = stable(cuts)
@@ -173,8 +179,8 @@ def mix_sources(
         cuts = lines.select("source", "room", F.concat("cuts", made_cut).alias("cuts"))
     known = stable(state.alias("d").join(cuts.alias("s"), same).select("d.*", "cuts"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(source_col).alias("source"),
-                      size.alias("size"), draw.alias("draw"))
-    out = own.alias("d").join(small(known).alias("s"), same).select("row", "size", "source_size", "target", "cuts",
+                      size.alias("size"), same_row.alias("draw"), place.alias("place"))
+    out = _told_apart(own, many).alias("d").join(small(known).alias("s"), same).select("row", "size", "source_size", "target", "cuts",
                                                                     *_rounding(cap))
     once = F.col("base") + F.when(F.col("base") < cap, _taken(1, SWEEPS - 1)).otherwise(0)
     out = out.withColumn("copies", once)
@@ -182,6 +188,24 @@ def mix_sources(
     return out.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _many_equal_rows(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """``draw`` of many rows equal in id and text that hold more than one part in ``EQUAL_PARTS`` of their source's words.
+
+    A source has fewer than ``EQUAL_PARTS`` of such draws.
+    """
+    same = F.col("g.source").eqNullSafe(F.col("s.source"))
+    equal = rows.groupBy("source", "draw").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).where((F.col("n") > EQUAL_ROWS) & (F.col("words") > 0))
+    found = equal.alias("g").join(small_side(totals)(totals).alias("s"), same)
+    return found.where(F.col("words") * EQUAL_PARTS > F.col("source_size")).select("draw").distinct()
+
+
+def _told_apart(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """``rows`` with a draw of their own, from their ``place``, for those among ``many``."""
+    own = rows.join(small_side(many)(many.withColumn("_many", F.lit(True))), "draw", "left")
+    draw = F.when(F.col("_many"), F.xxhash64("draw", "place")).otherwise(F.col("draw"))
+    return own.withColumn("draw", draw).drop("_many", "place")
+
+
 def _taken(first: int, n: int) -> Column:
     """1 if a document lies before one of ``n`` cuts from the ``first`` on among the documents small enough, else 0."""
     cuts = F.slice("cuts", first, n)
