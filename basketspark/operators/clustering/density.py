@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ...functions import number_rows, stable
 from ..graph import connected_components
-from .metrics import davies_bouldin, silhouette
+from .batched import davies_bouldins, silhouettes
+from .metrics import silhouette
 from ..spatial import (
     _CELLS,
     _NARROWER,
@@ -317,6 +318,119 @@ def optics(
     return data.join(at.drop("pid"), cols).join(labels, key).select(key, "cluster", "core_dist", "reachability")
 
 
+def _reachability_trees(points: DataFrame, cols: list[str], reach: float, n_trees: int) -> DataFrame:
+    """(m, a, b, w): for each of the core distances in ``cd``, the spanning forest of mutual reachability up to ``reach``.
+
+    Two points are as far apart as their distance or the larger of their core distances. All trees grow in the same
+    rounds: every component takes its nearest link to another one (ties by the smaller ids), and a pair of points is
+    measured once for all trees. ``points`` has no, cd, leaf and the columns.
+    """
+    comp = [F.when(F.get("cd", F.lit(m)) <= reach, F.col("no")) for m in range(n_trees)]
+    points = stable(points.select("no", "leaf", *cols, "cd", F.array(*comp).alias("comp")))
+    forest = None
+
+    def closest(q: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
+        px, ids = pts[cols].to_numpy(dtype=float), pts["no"].to_numpy()
+        pcd = np.array(pts["cd"].tolist(), dtype=float).reshape(len(pts), -1)
+        pcomp = np.array([[-1 if v is None or v != v else v for v in c] for c in pts["comp"]], dtype="int64").reshape(len(pts), -1)
+        out = []
+        for part in _chunks(q, len(px)):
+            if not len(px):
+                break
+            d = distances(part[cols].to_numpy(dtype=float), px)
+            own = part["no"].to_numpy()
+            cd = np.array(part["cd"].tolist(), dtype=float).reshape(len(part), -1)
+            own_comp = np.array([[-1 if v is None or v != v else v for v in c] for c in part["comp"]], dtype="int64").reshape(len(part), -1)
+            for m in range(n_trees):
+                w = np.maximum(d, np.maximum(cd[:, m, None], pcd[None, :, m]))
+                w[(own_comp[:, m, None] == pcomp[None, :, m]) | (w > reach)] = np.inf
+                low = w.min(axis=1)
+                j = np.where(w == low[:, None], ids[None], np.iinfo("int64").max).argmin(axis=1)
+                found = np.isfinite(low)
+                out.append(
+                    pd.DataFrame(
+                        {"m": m, "c": own_comp[:, m], "w": low, "a": np.minimum(own, ids[j]), "b": np.maximum(own, ids[j]), "o": pcomp[j, m]}
+                    )[found]
+                )
+        if not out:
+            return pd.DataFrame({c: [] for c in ("m", "c", "w", "a", "b", "o")})
+        # one link a component is enough of a leaf
+        return pd.concat(out).sort_values(["m", "c", "w", "a", "b"]).drop_duplicates(["m", "c"])
+
+    while True:
+        boxes = box_table(points, cols)
+        active = points.where(F.exists("comp", lambda c: c.isNotNull()))
+        met = meet(route(active, cols, boxes, radius=reach), points, closest, "m int, c long, w double, a long, b long, o long")
+        best = stable(met.groupBy("m", "c").agg(F.min(F.struct("w", "a", "b", "o")).alias("e")).select("m", "c", "e.*"))
+        if best.isEmpty():
+            return forest
+        links = best.select("m", "a", "b", "w").distinct()
+        forest = links if forest is None else forest.unionByName(links)
+        name = F.col("m").cast("long") * (1 << 40)
+        roots = connected_components(
+            best.select((name + F.col("c")).alias("v")).unionByName(best.select((name + F.col("o")).alias("v"))).distinct(),
+            best.select((name + F.col("c")).alias("u"), (name + F.col("o")).alias("v")),
+        )
+        moved = roots.select(
+            F.shiftright("v", 40).cast("int").alias("m"), F.col("v").bitwiseAND((1 << 40) - 1).alias("c"), F.col("root").bitwiseAND((1 << 40) - 1).alias("to")
+        )
+        each = points.select("no", F.posexplode("comp").alias("m", "c")).join(moved, ["m", "c"], "left")
+        comps = each.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("m", F.coalesce("to", "c").alias("c")))).alias("t"))
+        points = stable(points.drop("comp").join(comps.select("no", F.col("t.c").alias("comp")), "no"))
+
+
+def dbscan_labels(
+    df: DataFrame, cols: Sequence[str], settings: Sequence[tuple[float, int]], key: str = "customer_id", leaf_rows: int | None = None
+) -> DataFrame:
+    """(columns, w, labels): the clusters of all distinct positions under all ``settings`` (eps, min_pts); -1 is noise.
+
+    The labels are those of :func:`dbscan`, named by position numbers. A point's core distance says from which eps on it
+    is core, the spanning forest of mutual reachability holds the clusters of every eps, and a border point has fewer
+    than ``min_pts`` points in reach, so its nearest neighbours are all the core points that can claim it.
+    """
+    cols = list(cols)
+    mins = sorted({int(m) for _, m in settings})
+    reach = float(max(e for e, _ in settings))
+    index = position_index(df, cols, key, leaf_rows)
+    spots = stable(number_rows(index.points, ["pid"], "no"))
+    pts = df.select(F.col(key).alias("point_id"), *[F.col(c).cast("double").alias(c) for c in cols])
+    near = stable(knn(spots.select(F.col("no").alias("query_id"), *cols), pts, cols, max(mins), leaf_rows=leaf_rows))
+    dist = [F.max(F.when(F.col("rank") == m, F.col("dist"))) for m in mins]
+    far = F.lit(float("inf"))
+    cds = near.groupBy(F.col("query_id").alias("no")).agg(F.array(*[F.coalesce(d, far) for d in dist]).alias("cd"))
+    points = stable(spots.join(cds, "no"))
+    forest = _reachability_trees(points.select("no", "leaf", *cols, "cd"), cols, reach, len(mins))
+
+    spark = df.sparkSession
+    grid = spark.createDataFrame([(s, float(e), mins.index(int(m))) for s, (e, m) in enumerate(settings)], "s int, eps double, m int")
+    grid = F.broadcast(grid)  # one row a setting
+    name = F.col("s").cast("long") * (1 << 40)
+    cores = points.select("no", F.posexplode("cd").alias("m", "cd")).join(grid, "m").where("cd <= eps")
+    vertices = cores.select((name + F.col("no")).alias("v"))
+    if forest is None:
+        roots = vertices.select("v", F.col("v").alias("root"))
+    else:
+        edges = forest.join(grid, "m").where("w <= eps").select((name + F.col("a")).alias("u"), (name + F.col("b")).alias("v"))
+        roots = connected_components(vertices, edges)
+    low = (1 << 40) - 1
+    core = stable(
+        roots.select(F.shiftright("v", 40).cast("int").alias("s"), F.col("v").bitwiseAND(low).alias("no"), F.col("root").bitwiseAND(low).alias("c"))
+    )
+    # a claim holds while the neighbour is core and in reach, and the point itself is not core
+    who = near.join(pts.join(points.select("no", *cols), cols).select("point_id", F.col("no").alias("q")), "point_id")
+    claims = who.select(F.col("query_id").alias("no"), "q", "rank", "dist").join(points.select("no", "cd"), "no")
+    claims = claims.select("no", "q", "rank", "dist", F.posexplode("cd").alias("m", "cd")).join(grid, "m")
+    sizes = F.broadcast(spark.createDataFrame(list(enumerate(mins)), "m int, min_pts int"))
+    claims = claims.join(sizes, "m").where("rank < min_pts and dist <= eps and eps < cd").select("s", "no", "q")
+    border = claims.join(core.withColumnRenamed("no", "q"), ["s", "q"]).groupBy("s", "no").agg(F.min("c").alias("c"))
+    named = core.unionByName(border).groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("s", "c"))).alias("by"))
+    order = F.sequence(F.lit(0), F.lit(len(settings) - 1))
+    labels = F.transform(order, lambda s: F.coalesce(F.try_element_at("by", s), F.lit(-1).cast("long")).cast("int"))
+    empty = F.array_repeat(F.lit(-1), len(settings))
+    out = points.join(named, "no", "left").select(*cols, "w", F.when(F.col("by").isNull(), empty).otherwise(labels).alias("labels"))
+    return stable(out)
+
+
 def dbscan_grid(
     df: DataFrame,
     cols: Sequence[str],
@@ -324,27 +438,25 @@ def dbscan_grid(
     min_pts_values: Sequence[int],
     key: str = "customer_id",
     mode: str = "exact",
+    leaf_rows: int | None = None,
 ) -> DataFrame:
-    """(eps, min_pts, n_clusters, n_noise, davies_bouldin, silhouette) per setting, on one shared index.
+    """(eps, min_pts, n_clusters, n_noise, davies_bouldin, silhouette) per setting, all from the same few passes.
 
-    Noise counts as a cluster in both scores.
+    Noise counts as a cluster in both scores; with one cluster there are none.
     """
     cols = list(cols)
-    index = position_index(df, cols, key)
-    points = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
-    rows = []
-    for eps in eps_values:
-        counted = counted_positions(index, eps)  # serves every min_pts
-        for min_pts in min_pts_values:
-            labels = stable(points.join(dbscan(df, cols, eps, min_pts, key, index=index, counted=counted), key))
-            found = labels.agg(
-                F.count_distinct("cluster").alias("k"), F.count_if(F.col("cluster") == -1).alias("noise")
-            ).first()
-            db = sil = None
-            if found["k"] > 1:
-                db = float(davies_bouldin(labels, cols).first()[0])
-                sil = float(silhouette(labels, cols, key, mode=mode).first()["silhouette"])
-            n = found["k"] - (1 if found["noise"] else 0)
-            rows.append((float(eps), int(min_pts), int(n), int(found["noise"]), db, sil))
+    settings = [(float(e), int(m)) for e in eps_values for m in min_pts_values]
+    labels = dbscan_labels(df, cols, settings, key, leaf_rows)
+    each = labels.select("w", F.posexplode("labels").alias("s", "c")).groupBy("s", "c").agg(F.sum("w").alias("n"))
+    counts = each.groupBy("s").agg(F.count_if(F.col("c") >= 0).alias("k"), F.sum(F.when(F.col("c") < 0, F.col("n")).otherwise(0)).alias("noise"))
+    found = {r["s"]: (r["k"], r["noise"]) for r in counts.collect()}
+    db = davies_bouldins(labels, cols, "labels", "w")
+    points = stable(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).join(labels.drop("w"), cols))
+    if mode == "exact":
+        sil = silhouettes(points, cols, "labels", key)
+    else:
+        one = [points.withColumn("cluster", F.get("labels", F.lit(s))) if v is not None else None for s, v in enumerate(db)]
+        sil = [None if p is None else float(silhouette(p, cols, key, mode=mode).first()["silhouette"]) for p in one]
+    rows = [(e, m, *map(int, found[s]), db[s], sil[s]) for s, (e, m) in enumerate(settings) if s in found]
     schema = "eps double, min_pts int, n_clusters int, n_noise long, davies_bouldin double, silhouette double"
     return df.sparkSession.createDataFrame(rows, schema)

@@ -12,13 +12,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import rnd, stable
+from .batched import kmeans_many, silhouettes, spread_points, squared_silhouettes
 from .metrics import davies_bouldin, inertia, silhouette
 
 Centres = Sequence[Sequence[float]]
@@ -68,40 +69,40 @@ def lloyd(
 def kmeans(
     df: DataFrame, cols: Sequence[str], k: int, n_init: int = 10, max_iter: int = 100, seed: int = 22, key: str = "customer_id"
 ) -> tuple[DataFrame, list[list[float]], float]:
-    """Best of ``n_init`` k-means|| starts: (points with ``cluster``, centres, sum of squared errors)."""
-    vec = vectors(df, cols, key).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, maxIter=max_iter, seed=seed + i, predictionCol="cluster").fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    centres = [list(map(float, m)) for m in best[1].clusterCenters()]
-    vec.unpersist()
+    """Best of ``n_init`` k-means++ starts, run side by side: (points with ``cluster``, centres, sum of squared errors)."""
     wide = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
-    return wide.withColumn("cluster", nearest_centre(cols, centres)), centres, float(best[0])
+    fits = kmeans_many(wide, [(cols, k)], n_init, max_iter, seed, key)
+    if not fits:
+        raise ValueError("there are no points to cluster")
+    return wide.withColumn("cluster", nearest_centre(cols, fits[0].centres)), fits[0].centres, fits[0].sse
 
 
 def _combined(sse: float, sil: float, k: int) -> float:
     return -sse / 100 + sil * 100 - (k / 2) ** 2
 
 
-def _score_row(df: DataFrame, cols: Sequence[str], k: int, n_init: int, max_iter: int, mode: str):
-    labelled, _, sse = kmeans(df, cols, k, n_init, max_iter)
-    sil = silhouette(labelled, cols, mode=mode).first()["silhouette"]
-    return sse, sil, _combined(sse, sil, k)
-
-
 def elbow(
-    df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 31), n_init: int = 10, max_iter: int = 100, mode: str = "exact"
+    df: DataFrame,
+    cols: Sequence[str],
+    ks: Sequence[int] = range(2, 31),
+    n_init: int = 10,
+    max_iter: int = 100,
+    mode: str = "exact",
+    key: str = "customer_id",
 ) -> DataFrame:
-    """One row per k: sse / 100, silhouette * 100 and their combined score."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for k in ks:
-        sse, sil, score = _score_row(df, cols, k, n_init, max_iter, mode)
-        rows.append((k, sse / 100, sil * 100, score))
-    df.unpersist()
+    """One row per k: sse / 100, silhouette * 100 and their combined score.
+
+    All starts of all k share their passes over the points, and all labellings share one visit of the pairs.
+    """
+    points = spread_points(df, cols, key)
+    fits = kmeans_many(df, [(cols, k) for k in ks], n_init, max_iter, key=key, points=points)
+    if mode == "exact":
+        labels = F.array(*[nearest_centre(cols, f.centres) for f in fits])
+        wide = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+        sils = silhouettes(wide.withColumn("labels", labels), cols, "labels", key) if fits else []
+    else:
+        sils = squared_silhouettes(df, fits, key, points) if fits else []
+    rows = [(f.k, f.sse / 100, (s or 0.0) * 100, _combined(f.sse, s or 0.0, f.k)) for f, s in zip(fits, sils)]
     return df.sparkSession.createDataFrame(rows, "k int, sse double, silhouette double, score double")
 
 
@@ -113,17 +114,30 @@ def feature_search(
     n_init: int = 10,
     max_iter: int = 1000,
     mode: str = "squared",
+    key: str = "customer_id",
 ) -> DataFrame:
-    """Combined score of every r-subset of the (scaled) columns and every k, best first."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for combo in itertools.combinations(cols, r):
-        for k in ks:
-            sse, sil, score = _score_row(df, combo, k, n_init, max_iter, mode)
-            rows.append((list(combo), k, sse, sil, score))
-    df.unpersist()
+    """Combined score of every r-subset of the (scaled) columns and every k, best first.
+
+    All starts of all settings share their passes over the points. ``squared`` silhouettes take two more passes for all
+    settings; ``exact`` ones visit the pairs once a subset.
+    """
+    points = spread_points(df, cols, key)
+    settings = [(combo, k) for combo in itertools.combinations(cols, r) for k in ks]
+    fits = kmeans_many(df, settings, n_init, max_iter, key=key, points=points)
+    if mode == "squared":
+        sils = squared_silhouettes(df, fits, key, points) if fits else []
+    elif mode == "exact":
+        sils = []
+        for i in range(0, len(fits), len(ks)):
+            own = fits[i].cols
+            wide = df.select(key, *[F.col(c).cast("double").alias(c) for c in own])
+            labels = F.array(*[nearest_centre(own, f.centres) for f in fits[i : i + len(ks)]])
+            sils += silhouettes(wide.withColumn("labels", labels), own, "labels", key)
+    else:
+        raise ValueError("mode must be 'exact' or 'squared'")
+    rows = [(list(f.cols), f.k, f.sse, s, _combined(f.sse, s or 0.0, f.k)) for f, s in zip(fits, sils)]
     schema = "features array<string>, k int, sse double, silhouette double, score double"
-    return df.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("score"))
+    return df.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("score"), "k", "features")
 
 
 def partition_scores(labelled: DataFrame, cols: Sequence[str], key: str = "customer_id") -> DataFrame:
@@ -307,6 +321,7 @@ def gaussian_mixture(df: DataFrame, cols: Sequence[str], k: int = 5, seed: int =
             (i, float(model.weights[i]), [float(x) for x in g.mean.toArray()], [float(x) for x in g.cov.toArray().ravel()])
         )
     schema = "cluster int, weight double, mean array<double>, covariance array<double>"
+    vec.unpersist()
     out = model.transform(vec).select(key, *cols, "cluster", vector_to_array("probability").alias("probability"))
     return out, df.sparkSession.createDataFrame(components, schema)
 
