@@ -91,14 +91,14 @@ def _pass(
                 for i in range(0, len(x), step):
                     part = work(h[i : i + step], x[i : i + step][:, g.dims], g)
                     total[g.at] = part if g.at not in total else total[g.at] + part
-        for g in shared.value:
-            if g.at in total:
-                s, k, _ = total[g.at].shape
-                frame = pd.DataFrame(total[g.at].reshape(s * k, -1), columns=list(names))
-                frame.insert(0, "g", np.int32(g.at))
-                frame.insert(1, "start", np.repeat(np.arange(s, dtype=np.int32), k))
-                frame.insert(2, "cluster", np.tile(np.arange(k, dtype=np.int32), s))
-                yield frame
+        if total:
+            # one frame for all settings: thousands of small ones would cost more than the sums
+            shapes = [(g.at, *total[g.at].shape[:2]) for g in shared.value]
+            frame = pd.DataFrame(np.concatenate([total[i].reshape(s * k, -1) for i, s, k in shapes]), columns=list(names))
+            frame.insert(0, "g", np.repeat(np.array([i for i, _, _ in shapes], np.int32), [s * k for _, s, k in shapes]))
+            frame.insert(1, "start", np.concatenate([np.repeat(np.arange(s, dtype=np.int32), k) for _, s, k in shapes]))
+            frame.insert(2, "cluster", np.concatenate([np.tile(np.arange(k, dtype=np.int32), s) for _, s, k in shapes]))
+            yield frame
 
     sums = points.mapInPandas(run, schema).groupBy("g", "start", "cluster").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     shared.destroy()
@@ -121,6 +121,7 @@ def _seed(points: DataFrame, cols: Sequence[str], groups: list[_Group], ks: list
             for batch in batches:
                 h = batch["_h"].to_numpy(dtype=np.int64).view(np.uint64)
                 x = batch[cols].to_numpy(dtype=float)
+                out: list[tuple] = []
                 for g in shared.value:
                     s = len(g.starts)
                     step = max(1, CELLS // max(1, s * max(1, t)))
@@ -131,9 +132,10 @@ def _seed(points: DataFrame, cols: Sequence[str], groups: list[_Group], ks: list
                             weight = _squares(part, g.centres).min(axis=2)
                             wait = np.where(weight > 0, wait / np.where(weight > 0, weight, 1), np.inf)
                         first = wait.argmin(axis=0)
-                        yield pd.DataFrame(
-                            {"g": np.int32(g.at), "start": np.arange(s, dtype=np.int32), "wait": wait.min(axis=0), "at": list(part[first])}
-                        )
+                        out.append((np.full(s, g.at), np.arange(s), wait.min(axis=0), list(part[first])))
+                if out:
+                    g_, start, wait, at = (np.concatenate(c) if n < 3 else [v for own in c for v in own] for n, c in enumerate(zip(*out)))
+                    yield pd.DataFrame({"g": g_.astype(np.int32), "start": start.astype(np.int32), "wait": wait, "at": at})
 
         best = F.min(F.struct("wait", "at")).alias("best")
         won = points.mapInPandas(run, schema).groupBy("g", "start").agg(best).select("g", "start", "best.at").toPandas()
@@ -205,11 +207,12 @@ def kmeans_many(
         if not moving:
             break
         now = [_Group(g.at, g.dims, g.starts[open_], g.centres[open_]) for g, open_ in moving]
-        sums = {i: t for i, t in _pass(points, cols, now, work, names).groupby("g")}
-        left = []
+        sums = _pass(points, cols, now, work, names)[names].to_numpy()
+        left, at = [], 0
         for (g, open_), part in zip(moving, now):
             s, k, r = part.centres.shape
-            t = sums[g.at][names].to_numpy().reshape(s, k, width)
+            t = sums[at : at + s * k].reshape(s, k, width)  # every task returns all clusters, also empty ones
+            at += s * k
             n = t[..., :1]
             new = np.where(n > 0, t[..., 2 : 2 + r] / np.where(n > 0, n, 1), part.centres)
             shift = np.sqrt(((new - part.centres) ** 2).sum(axis=2)).max(axis=1)
