@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import by_group_size, exact_quantiles, one_row, scan, stable
+from ..functions import by_group_size, exact_quantiles, one_row, scan, stable, stored
 
 # fixed values: stock-adjustment descriptions that are not products (exact, case-sensitive)
 DENIED_DESCRIPTIONS = (
@@ -119,10 +119,23 @@ def parse_price(df: DataFrame) -> DataFrame:
     return df.withColumn("sale", _converted("sale", F.regexp_replace("sale", ",", "."), "decimal(18,4)"))
 
 
+def _unread(name: str, value: Column) -> Column:
+    """What to report of a text that is no value; null where there is nothing to report."""
+    return F.when(F.col(name).isNotNull() & value.isNull(), F.concat(F.lit(f"{name} cannot be read: "), F.col(name)))
+
+
 def _converted(name: str, text: Column, kind: str) -> Column:
     value = text.try_cast(kind)
-    wrong = F.raise_error(F.concat(F.lit(f"{name} cannot be read: "), F.col(name))).cast(kind)
-    return F.when(F.col(name).isNotNull() & value.isNull(), wrong).otherwise(value)
+    wrong = _unread(name, value)
+    return F.when(wrong.isNotNull(), F.raise_error(wrong).cast(kind)).otherwise(value)
+
+
+def _price(name: str = "sale") -> Column:
+    return F.regexp_replace(name, ",", ".").try_cast("decimal(18,4)")
+
+
+def _basket(name: str = "basket_id") -> Column:
+    return F.replace(name, F.lit("C"), F.lit("")).try_cast("long")
 
 
 def require_customer(df: DataFrame) -> DataFrame:
@@ -288,14 +301,27 @@ def clean(
     denied: Sequence[str] = DENIED_DESCRIPTIONS,
     max_group_rows: int | None = None,
 ) -> DataFrame:
-    """The whole chain, raw export lines to clean purchase lines."""
-    return (
-        raw.transform(parse_price)
+    """The whole chain, raw export lines to clean purchase lines.
+
+    Prices and basket ids that cannot be read are looked for in the table that is written anyway, so that filters pass
+    the conversions; any such price, or basket id of a line that the price floor keeps, is an error.
+    """
+    floor = F.lit(str(limits.price_floor)).cast("decimal(18,4)")
+    kept = F.col("sale") >= floor
+    read = (
+        raw.withColumns({"_sale": _unread("sale", _price()), "sale": _price()})
         .transform(require_customer)
         .transform(lambda d: drop_denied_descriptions(d, denied))
         .transform(normalise_text)
-        .transform(lambda d: price_floor(d, limits.price_floor))
-        .transform(basket_to_long)
+        .withColumns({"_basket": F.when(kept, _unread("basket_id", _basket())), "basket_id": _basket()})
+        .where(kept | F.col("_sale").isNotNull())
+        .transform(stored)
+    )
+    wrong = read.select(F.coalesce("_sale", "_basket").alias("m")).where("m is not null").first()
+    if wrong:
+        raise ValueError(wrong["m"])
+    return (
+        read.drop("_sale", "_basket")
         .transform(canonical_description)
         .transform(merge_lines)
         .transform(stable)  # group sizes are looked at before the running totals
