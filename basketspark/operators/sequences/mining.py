@@ -8,6 +8,7 @@ customer with very many baskets. The match of a pattern starts from the stored m
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -256,17 +257,15 @@ def prune(cands: DataFrame, frequent: DataFrame, timed: bool = False) -> DataFra
     return cands.join(bad, "pattern", "left_anti")
 
 
-def gsp(
+def gsp_matches(
     occ: DataFrame,
     min_sup: float,
     limits: TimeLimits = TimeLimits(),
     compat_rounding: bool = False,
     max_group_rows: int | None = None,
-) -> DataFrame:
-    """All frequent patterns: (pattern, n_items, n_elements, support_count, support).
-
-    Level 1 is unconstrained. The driver sees only whether a level is empty.
-    """
+) -> tuple[DataFrame, DataFrame | None]:
+    """The result of :func:`gsp`, and the written matches of its patterns of two and more items as
+    :func:`match_patterns` returns them; None without such patterns."""
     max_rows = max_group_rows or MAX_GROUP_ROWS
     n = n_sequences(occ)
     level = stable(frequent_items(occ, min_sup, compat_rounding))
@@ -274,12 +273,12 @@ def gsp(
     items = level.select(F.col("pattern")[0][0].alias("item"))
     occ = stable(occ.join(items, "item", "left_semi").select("seq_id", "pos", "ts", "item"))
     if level.isEmpty():
-        return result
+        return result, None
     hot = _has_hot(occ, max_rows)
     # unconstrained pair support bounds the constrained one, so rare pairs are never matched
     pairs = stable(_with_support(pair_counts(occ), n).where(_threshold(min_sup, compat_rounding)))
     if pairs.isEmpty():
-        return result
+        return result, None
     states = [stable(_advance(level, None, occ, limits, max_rows, hot))]
     cands = pairs
     while True:
@@ -289,12 +288,31 @@ def gsp(
         found = stable(_advance(cands, known, occ, limits, max_rows, hot))
         level = stable(_supported(found, n, min_sup, compat_rounding))
         if level.isEmpty():
-            return result
+            return result, _matches(states)
         result = result.unionByName(level)
         states.append(stable(found.join(level, "pattern", "left_semi")))
         cands = stable(prune(candidates(level), level, bool(limits)))
         if cands.isEmpty():
-            return result
+            return result, _matches(states)
+
+
+def _matches(states: list[DataFrame]) -> DataFrame | None:
+    several = [s.select("pattern", "seq_id", "places", "times") for s in states[1:]]
+    return functools.reduce(DataFrame.unionByName, several) if several else None
+
+
+def gsp(
+    occ: DataFrame,
+    min_sup: float,
+    limits: TimeLimits = TimeLimits(),
+    compat_rounding: bool = False,
+    max_group_rows: int | None = None,
+) -> DataFrame:
+    """All frequent patterns: (pattern, n_items, n_elements, support_count, support).
+
+    Level 1 is unconstrained. The driver sees only whether a level is empty.
+    """
+    return gsp_matches(occ, min_sup, limits, compat_rounding, max_group_rows)[0]
 
 
 # ---- sweeps ---------------------------------------------------------------------------------------
@@ -341,16 +359,16 @@ def constraint_sweep(
 ) -> DataFrame:
     """(value_days, n_patterns): patterns of 2 and 3 items left by each value of one time limit.
 
-    The leftmost match does not depend on the limit, so the unconstrained result is mined at ``min_sup`` and
-    matched once, and each value filters the matches; levels are then pruned on the small pattern table.
+    The leftmost match does not depend on the limit, so the unconstrained result is mined at ``min_sup``, and each value
+    filters the matches that the mining has written; levels are then pruned on the small pattern table.
     """
     n = n_sequences(occ)
-    found = stable(gsp(occ, min_sup, compat_rounding=compat_rounding))
-    several = found.where("n_items >= 2")
-    spark = found.sparkSession
+    _, matches = gsp_matches(occ, min_sup, compat_rounding=compat_rounding, max_group_rows=max_group_rows)
+    spark = occ.sparkSession
     vals = [(int(v.total_seconds() // 86400), v) for v in values]
     grid = F.array(*[F.struct(F.lit(d).alias("value_days"), F.lit(v).alias("limit")) for d, v in vals])
-    matches = match_patterns(several, occ, max_group_rows=max_group_rows)
+    if matches is None:
+        return spark.createDataFrame([(d, 0) for d, _ in vals], "value_days int, n_patterns long").orderBy("value_days")
     gaps = F.transform(
         F.sequence(F.lit(1), F.size("times") - 1), lambda i: F.get("times", i) - F.get("times", i - 1)
     )
