@@ -382,7 +382,23 @@ _add(
     lambda s, d: rollups.activity_long(lines(s, d)).withColumn("rank", F.col("rank").cast("long")),
     with_lines(f", {_ACTIVITY} SELECT month, country, amount, rank FROM act JOIN rk USING (country)"),
 )
-_add("country_activity_matrix", lambda s, d: rollups.activity_matrix(lines(s, d)))
+_COUNTRIES = [f"NATION_{i}" for i in range(25)]  # of the given tables
+
+
+def _activity_matrix(s, d):
+    wide = rollups.activity_matrix(lines(s, d))
+    return wide.select("month", *[F.col(c).cast("double").alias(c) for c in wide.columns[1:]])
+
+
+_add(
+    "country_activity_matrix",
+    _activity_matrix,
+    with_lines(
+        f", {_ACTIVITY} SELECT month, "
+        + ", ".join(f"CAST(max(rank) FILTER (country = '{c}') AS DOUBLE) AS \"{c}\"" for c in _COUNTRIES)
+        + " FROM act JOIN rk USING (country) GROUP BY month"
+    ),
+)
 for _n, _f, _o in (("purchased", "qta > 0", "DESC"), ("returned", "qta < 0", "ASC")):
     _add(
         f"top_{_n}",
