@@ -1,6 +1,7 @@
 """Tokens of two vocabularies laid over one text, in groups that end where tokens of both end.
 
-Texts are cut into units, a space or line end with what follows it, at which neither vocabulary has a token across.
+Texts are cut into units, a space or line end with what follows it or the marks after a word, at which neither
+vocabulary has a token across.
 A unit's groups don't depend on its neighbours, so each task aligns a unit once and looks it up from then on. Within
 units, the character offsets of one tokenizer and the byte spans of the other give coarse cuts; where tokens end inside
 a character (byte tokens of both kinds) the bytes of the decoded tokens refine them.
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,17 @@ from basketspark.functions import stored
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
-CHUNK_CHARS = 8_000_000  # texts handled at a time, longer ones alone
-KEPT_UNITS = 300_000  # units that a task remembers before it starts anew
+CHUNK_CHARS = 4_000_000  # texts handled at a time, longer ones alone
+KEPT_UNITS = 600_000  # units that a task remembers before it starts anew
 WIDE_GROUP = 4096  # links; above, equal ids of a group are counted before they are paired
 HOT_PAIRS = 200_000  # at most so many pairs' counts are broadcast
 
 _SHIFT = 20  # a pair is one number: the first id, shifted, and the second
-_STARTER = " ."  # stands before the units, so that none of them is the first of the text
+_DOC_BITS = 26  # a chunk has fewer texts than two to the power of this
+_STARTER = " a"  # stands before the units, so that none of them is the first of the text
 _SPACED = re.compile(r"\s[ \n]")
-_UNITS = re.compile("[ \n][^ \n]+")
+_LETTER, _MARKS = r"[^\W\d_²]", ",.;:!?"  # no piece has a mark right after a letter
+_UNITS = re.compile(rf"[ \n]{_LETTER}+(?=[{_MARKS}]*(?:[ \n]|\Z))|[{_MARKS}]+|[ \n][^ \n]+")
 _STARTS = re.compile(r"(?<!\s)[ \n]")
 
 _SCHEMA = (
@@ -73,48 +77,53 @@ class Vocabularies:
             for i, p in enumerate(pieces)
         ]
         self.first_sizes, self.second_sizes = _flat(self.first_bytes), _flat(self.second_bytes)
-        if any("\n" in p or "▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("a unit begins with a space or a line end, and a piece of this vocabulary goes on across one")
+        across = re.compile(rf"{_LETTER}[{_MARKS}]|\n|[^▁]▁")
+        if any(across.search(p) for p in pieces):
+            raise ValueError("units begin with a space, a line end or a mark after a letter, and a piece of this vocabulary goes on across one")
 
     def first_tokens(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, coarse byte ends from the character offsets, and whether the token ends between characters."""
         found = self.first.encode(text, add_special_tokens=False)
-        spans = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(found.offsets), dtype=np.int64).reshape(-1, 2)
         starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-        place = np.append(starts, len(raw))
+        place = np.append(starts, len(raw)) if len(starts) < len(raw) else np.arange(len(raw) + 1)
         clean = np.append(spans[1:, 0] >= spans[:-1, 1], True)[: len(spans)]
         return np.array(found.ids, dtype=np.int64), place[spans[:, 1]], clean
 
     def second_tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same from the spans, which are bytes of the text without the space that the model puts before it."""
         pieces = self.second.encode(text[1:], return_type="proto", num_threads=1).pieces
-        table = np.array([(p.id, p.begin, p.end) for p in pieces], dtype=np.int64).reshape(-1, 3)
-        return table[:, 0], table[:, 2] + 1, table[:, 2] > table[:, 1]
+        ids = np.fromiter([p.id for p in pieces], dtype=np.int64, count=len(pieces))
+        ends = np.fromiter([p.end for p in pieces], dtype=np.int64, count=len(pieces))
+        # spans follow one another: one that ends where the one before does is empty
+        return ids, ends + 1, np.diff(ends, prepend=0) > 0
 
-    def joined(self, first: np.ndarray, second: np.ndarray) -> tuple[bytes, bytes]:
-        return b"".join(map(self.first_bytes.__getitem__, first.tolist())), b"".join(map(self.second_bytes.__getitem__, second.tolist()))
+    def joined(self, first: list[int], second: list[int]) -> tuple[bytes, bytes]:
+        return b"".join(map(self.first_bytes.__getitem__, first)), b"".join(map(self.second_bytes.__getitem__, second))
 
 
 def common_ends(
     a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], a_sizes: np.ndarray, b_sizes: np.ndarray
 ) -> np.ndarray:
     """Byte offsets where tokens of both end: the coarse cuts, and those found by decoded bytes between them."""
-    coarse = np.intersect1d(a[1][a[2]], b[1][b[2]])
-    refined = [coarse]
+    size = int(a_sizes.sum()) + 1
+    coarse = _both(a[1][a[2]], b[1][b[2]], size)
     # the first kind's coarse end is at or after the true one; the second kind's, an empty span, lies before it
     spots = np.concatenate([a[1][~a[2]], b[1][~b[2]] + 1])
-    if len(spots):
-        # only segments between coarse cuts that hold a token ending inside a character
-        a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
-        before = np.append(0, coarse)
-        for s in np.unique(np.searchsorted(coarse, spots)):
-            lo, hi = before[s], coarse[s]
-            inside = np.intersect1d(
-                a_ends[np.searchsorted(a_ends, lo, "right") : np.searchsorted(a_ends, hi)],
-                b_ends[np.searchsorted(b_ends, lo, "right") : np.searchsorted(b_ends, hi)],
-            )
-            refined.append(inside)
-    return np.unique(np.concatenate(refined)) if len(refined) > 1 else coarse
+    if not len(spots):
+        return coarse
+    # segments between coarse cuts that hold a token ending inside a character
+    open_ = np.zeros(len(coarse) + 1, dtype=bool)
+    open_[np.searchsorted(coarse, spots)] = True
+    ends = [e[open_[np.searchsorted(coarse, e)]] for e in (np.cumsum(a_sizes), np.cumsum(b_sizes))]
+    return np.union1d(coarse, _both(*ends, size))
+
+
+def _both(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Offsets below ``size`` that are in both ascending lists."""
+    there = np.zeros(size, dtype=bool)
+    there[a] = True
+    return b[there[b]]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,11 +149,13 @@ class Units:
 
     def __init__(self, vocabularies: Vocabularies) -> None:
         self.v = vocabularies
+        self.names = list(map(str, range(max(len(vocabularies.first_bytes), len(vocabularies.second_bytes)))))
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.texts: list[str | None] = []
+        self.texts: list[str] = []
+        self.odd: set[int] = set()  # units whose tokens don't spell them
         self.counts: list[np.ndarray] = []  # rows of n_a, n_b, n_groups, n_links
         self.pairs: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
@@ -159,18 +170,18 @@ class Units:
         return self.counts[0], self.pairs[0], self.links[0], np.append(0, np.cumsum(sizes))
 
     def learn(self, units: list[str]) -> None:
-        """Align units not met yet, most of them in one text; those that end in white space each in its own."""
-        apart = [u for u in units if u[-1].isspace()]
-        together = [u for u in units if not u[-1].isspace()]
+        """Align units not met yet, most of them in one text; those that need a letter before them, or end in white space, each in its own."""
+        apart = [u for u in units if u[-1].isspace() or u[0] in _MARKS]
+        together = [u for u in units if not (u[-1].isspace() or u[0] in _MARKS)]
         if together and not self._add(together):
             apart += together  # some unit has tokens that don't spell it
         for u in apart:
             if not self._add([u]):
-                self._record([u], np.zeros((1, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), [None])
+                self.odd.add(len(self.place))
+                self._record([u], np.zeros((1, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), [""])
 
     def _record(self, units, counts, pairs, links, sizes, texts) -> None:
-        for u in units:
-            self.place[u] = len(self.place)
+        self.place.update(zip(units, range(len(self.place), len(self.place) + len(units))))
         self.texts += texts
         self.counts.append(counts)
         self.pairs.append(pairs)
@@ -181,12 +192,14 @@ class Units:
         text = _STARTER + "".join(units)
         raw = text.encode()
         a, b = self.v.first_tokens(text, raw), self.v.second_tokens(text)
-        if self.v.joined(a[0], b[0]) != (raw, raw):
+        a_ids, b_ids = a[0].tolist(), b[0].tolist()
+        if self.v.joined(a_ids, b_ids) != (raw, raw):
             return False
         a_sizes, b_sizes = self.v.first_sizes[a[0]], self.v.second_sizes[b[0]]
         cuts = common_ends(a, b, a_sizes, b_sizes)
-        ends = np.cumsum([len(_STARTER)] + [len(u.encode()) for u in units])
-        if not np.isin(ends, cuts).all():
+        sizes = [len(u) for u in units] if len(text) == len(raw) else [len(u.encode()) for u in units]
+        ends = np.cumsum([len(_STARTER), *sizes])
+        if (cuts[np.minimum(np.searchsorted(cuts, ends), len(cuts) - 1)] != ends).any():
             return False
         a_cut = np.searchsorted(np.cumsum(a_sizes), cuts) + 1
         b_cut = np.searchsorted(np.cumsum(b_sizes), cuts) + 1
@@ -205,17 +218,22 @@ class Units:
         counts = np.stack(
             [np.diff(a_cut[last]), np.diff(b_cut[last]), np.diff(last), np.bincount(unit, links, n).astype(np.int64)], axis=1
         )
-        ta, tb = list(map(str, a[0].tolist())), list(map(str, b[0].tolist()))
+        ta, tb = list(map(self.names.__getitem__, a_ids)), list(map(self.names.__getitem__, b_ids))
         ia, ib = a_cut.tolist(), b_cut.tolist()
-        groups = [",".join(ta[ia[g] : ia[g + 1]]) + "|" + ",".join(tb[ib[g] : ib[g + 1]]) for g in range(len(ia) - 1)]
+        # most groups have one token of each
+        groups = [
+            f"{ta[i]}|{tb[j]}" if k == i + 1 and m == j + 1 else f"{','.join(ta[i:k])}|{','.join(tb[j:m])}"
+            for i, k, j, m in zip(ia, ia[1:], ib, ib[1:])
+        ]
         at = last.tolist()
-        texts = [";".join(groups[at[i] : at[i + 1]]) for i in range(n)]
+        texts = [";".join(groups[i:j]) for i, j in zip(at, at[1:])]
         self._record(units, counts, pair, links, np.bincount(unit, minlength=n), texts)
         return True
 
 
 def units_of(text: str) -> list[str]:
-    """Cut ``text``, which begins with a space, before each space or line end that follows no white space."""
+    """Cut ``text``, which begins with a space, before spaces and line ends that follow no white space, and before the
+    marks that end a word of letters."""
     if not _SPACED.search(text) and text[-1] not in " \n":
         return _UNITS.findall(text)
     starts = [m.start() for m in _STARTS.finditer(text)]
@@ -227,19 +245,21 @@ def _align(texts: list[str | None], ids: list, chunk: int, memory: Units) -> Ite
     lists = [units_of(" " + t) if t else [] for t in texts]
     if len(memory.place) > KEPT_UNITS:
         memory.clear()
-    new = list({u for units in lists for u in units} - memory.place.keys())
+    new = list(set().union(*lists) - memory.place.keys())
     for s in range(0, len(new), 20_000):
         memory.learn(new[s : s + 20_000])
     n = len(texts)
-    numbers = [[memory.place[u] for u in units] for units in lists]
-    texts_of = memory.texts
-    told = [bool(x) and all(texts_of[i] is not None for i in x) for x in numbers]
-    sha = [hashlib.sha256(";".join([texts_of[i] for i in x]).encode()).hexdigest() if ok else "" for x, ok in zip(numbers, told)]
+    place, told_of = memory.place.__getitem__, memory.texts.__getitem__
+    numbers = [list(map(place, units)) for units in lists]
+    told = [bool(x) for x in numbers]
+    if memory.odd:
+        told = [bool(x) and memory.odd.isdisjoint(x) for x in numbers]
+    sha = [hashlib.sha256(";".join(map(told_of, x)).encode()).hexdigest() if ok else "" for x, ok in zip(numbers, told)]
     doc = np.repeat(np.arange(n), [len(x) if ok else 0 for x, ok in zip(numbers, told)])
     totals = np.zeros((n, 4), dtype=np.int64)
     rows = None
     if len(doc):
-        unit = np.concatenate([np.array(x, dtype=np.int64) for x, ok in zip(numbers, told) if ok])
+        unit = np.fromiter(chain.from_iterable(x for x, ok in zip(numbers, told) if ok), dtype=np.int64, count=len(doc))
         counts, pairs, links, starts = memory.flat()
         for c in range(4):
             totals[:, c] = np.bincount(doc, counts[unit, c], n).astype(np.int64)
@@ -249,11 +269,12 @@ def _align(texts: list[str | None], ids: list, chunk: int, memory: Units) -> Ite
         size = starts[unit + 1] - starts[unit]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[unit], size)
         pair, weight, doc = pairs[at], links[at] * np.repeat(times, size), np.repeat(doc, size)
-        order = np.lexsort((doc, pair))
-        pair, weight, doc = pair[order], weight[order], doc[order]
-        begin = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))
-        weight = np.add.reduceat(weight, begin)
-        pair, doc = pair[begin], doc[begin]
+        key = pair << _DOC_BITS | doc
+        order = np.argsort(key)
+        key = key[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        weight = np.add.reduceat(weight[order], begin)
+        pair, doc = key[begin] >> _DOC_BITS, key[begin] & ((1 << _DOC_BITS) - 1)
         first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         rows = pair[first], first, doc, weight
     yield pa.RecordBatch.from_pydict(
@@ -301,7 +322,7 @@ def aligned(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
         for batch in batches:
             for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 length = len(text or "")
-                if texts and size + length > CHUNK_CHARS:
+                if texts and (size + length > CHUNK_CHARS or len(texts) + 1 >= 1 << _DOC_BITS):
                     memory = memory or Units(Vocabularies(*shared.value))
                     yield from _align(texts, ids, start, memory)
                     texts, ids, size = [], [], 0
