@@ -3,7 +3,7 @@
 Each language has a probability for every piece of a fixed public vocabulary (a SentencePiece model whose byte pieces
 can spell anything). A word, written with a leading space and in lower case for ASCII letters, has the probability
 of all its segmentations together, which a forward pass over its bytes adds up; a text has the product over its
-words. Piece probabilities are fitted by expectation-maximisation on the word counts of a bounded sample.
+words. Piece probabilities are fitted by expectation-maximisation on the word counts of all labelled documents.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from ..functions import stable
 from .words import Splitter, Words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-TRAIN_DOCS = 2000
 TRAIN_WORD = 1024  # bytes; longer words are scored, but teach nothing
 MAX_LANGS = 200
 EM_STEPS = 3
@@ -33,8 +32,9 @@ LONE_WORD = 1024
 SMOOTH = 0.01
 SCALE = 32.0
 UNKNOWN = "und"
-SLICE = 4 << 20
-CACHE_BYTES = 48 << 20
+COUNTED = 100_000  # different words that a task counts before it passes them on
+SLICE = 1 << 20
+CACHE_BYTES = 16 << 20
 
 
 def read_pieces(path: str = VOCABULARY) -> list[bytes]:
@@ -252,12 +252,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for w in split.slices(batch.column(1)):
-            low = split.low[w.data].tobytes()
-            for i, row in enumerate(w.rows):
-                a, b = w.first[i], w.first[i + 1]
-                words = zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)
-                counts.update((langs[row], low[s:e]) for s, e in words if e - s <= TRAIN_WORD)
-            if len(counts) > 200_000:
+            if not len(w.start):
+                continue
+            # equal words of a language are found by their hashes, so only different ones are looked up
+            names = {name: i for i, name in enumerate(dict.fromkeys(langs[r] for r in w.rows))}
+            of = np.repeat([names[langs[r]] for r in w.rows], np.diff(w.first))
+            order = np.lexsort((w.hash, of))
+            new = np.concatenate(([True], np.diff(of[order]) != 0))
+            new[1:] |= w.hash[order][1:] != w.hash[order][:-1]
+            at = np.flatnonzero(new)
+            n, one = np.diff(np.append(at, len(order))), order[at]
+            low, names = split.low[w.data].tobytes(), list(names)
+            for k, s, e, m in zip(of[one].tolist(), w.start[one].tolist(), w.end[one].tolist(), n.tolist(), strict=True):
+                if e - s <= TRAIN_WORD:
+                    counts[names[k], low[s:e]] += m
+            if len(counts) > COUNTED:
                 yield out()
     if counts:
         yield out()
@@ -288,13 +297,13 @@ def _expect(pieces: list[bytes], langs: list[str], prob: np.ndarray):
 
 
 def learn_languages(
-    docs: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = EM_STEPS, vocabulary: str = VOCABULARY,
+    docs: DataFrame, train_docs: int | None = None, steps: int = EM_STEPS, vocabulary: str = VOCABULARY,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> tuple[list[bytes], list[str], np.ndarray, np.ndarray]:
     """(pieces, languages, piece probabilities, log priors) from the labelled rows of ``docs``.
 
-    All rows give the priors. Piece probabilities come from about ``train_docs`` documents a language, chosen by a
-    hash of id and text, from their words of up to ``TRAIN_WORD`` bytes. The ``MAX_LANGS`` most frequent values are
+    All rows give the priors, and all their words of up to ``TRAIN_WORD`` bytes the piece probabilities; with ``train_docs``,
+    the words of about so many documents a language, chosen by a hash of id and text. The ``MAX_LANGS`` most frequent values are
     learned, so the driver gets a bounded table: one number per language and piece of the vocabulary.
     """
     pieces = read_pieces(vocabulary)
@@ -307,10 +316,12 @@ def learn_languages(
     prob = np.full((len(pieces), len(langs)), 1 / len(pieces))
     if not langs:
         return pieces, langs, prob, prior
-    share = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(min(1.0, train_docs / sizes[name])))])
-    draw = F.pmod(F.xxhash64("k", "text", F.lit(31)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-    words = sample.mapInArrow(_count_words, "lang string, word binary, n long")
+    taught = rows.where(F.col("lang").isin(langs))
+    if train_docs is not None:
+        share = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(min(1.0, train_docs / sizes[name])))])
+        draw = F.pmod(F.xxhash64("k", "text", F.lit(31)), F.lit(1 << 20)) / float(1 << 20)
+        taught = taught.where(draw < F.element_at(share, F.col("lang")))
+    words = taught.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long")
     words = stable(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     for _ in range(steps):
         uses = words.mapInArrow(_expect(pieces, langs, prob), "lang long, piece long, uses double")
@@ -382,20 +393,15 @@ def predict_languages(
     return rows.mapInArrow(_predict(text_col, *model), kinds)
 
 
-def usual_fit(
-    docs: DataFrame, model: tuple[list[bytes], list[str], np.ndarray, np.ndarray], train_docs: int = TRAIN_DOCS
-) -> DataFrame:
+def usual_fit(told: DataFrame) -> DataFrame:
     """(lang, mean, spread): log probability a byte that texts of a language have in it, and its variance times the bytes.
 
-    From about ``train_docs`` documents a language, chosen by a hash of the text, that are predicted as labelled.
+    ``told`` is what :func:`predict_languages` returns for labelled rows; all that are predicted as labelled count.
     """
-    n = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64("text", F.lit(37)), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.select("lang", "text").join(F.broadcast(n.orderBy(F.desc("n"), "lang").limit(MAX_LANGS)), "lang")
-    told = predict_languages(rows.where(draw * F.col("n") < train_docs).select("lang", "text"), model)
-    told = stable(told.where((F.col("lang") == F.col("lang_pred")) & (F.col("fit_bytes") > 0)).select("lang", "fit", "fit_bytes"))
+    told = told.where((F.col("lang") == F.col("lang_pred")) & (F.col("fit_bytes") > 0)).select("lang", "fit", "fit_bytes")
     mean = told.groupBy("lang").agg((F.sum(F.col("fit") * F.col("fit_bytes")) / F.sum("fit_bytes")).alias("mean"))
     gap = F.col("fit") - F.col("mean")
+    # one row a learned language
     return told.join(F.broadcast(mean), "lang").groupBy("lang", "mean").agg(F.avg(gap * gap * F.col("fit_bytes")).alias("spread"))
 
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketspark.functions import ensure_checkpoint_dir, stable
+from basketspark.functions import ensure_checkpoint_dir, stable, stored
 from basketspark.llm.decontaminate import contaminated_texts
 from basketspark.llm.language import UNKNOWN, learn_languages, predict_languages, usual_fit
 from basketspark.llm.mixing import mix_sources
@@ -33,15 +33,16 @@ def _without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with letters in one of the learned languages, by a model of the labelled rows.
+    """Documents with letters in one of the learned languages, by a model of all labelled rows.
 
     A posterior tells which language is likeliest, and is near one for any text of some length. What is rejected is text
     that its likeliest language explains less well than that language's own documents: by more than ``LESS`` nats a byte,
     and by more than ``FAR`` of the standard deviations of a text of its length.
     """
     model = learn_languages(docs)
-    usual = F.broadcast(usual_fit(docs, model).select(F.col("lang").alias("lang_pred"), "mean", "spread"))  # one row a language
-    told = predict_languages(docs, model).where(F.col("lang_pred") != UNKNOWN).join(usual, "lang_pred", "left")
+    told = stored(predict_languages(docs, model).where(F.col("lang_pred") != UNKNOWN))  # what is usual is read from it too
+    usual = F.broadcast(usual_fit(told).select(F.col("lang").alias("lang_pred"), "mean", "spread"))  # one row a language
+    told = told.join(usual, "lang_pred", "left")
     short = F.col("mean") - F.col("fit")
     strange = (short > LESS) & (short * F.sqrt(F.col("fit_bytes")) > FAR * F.sqrt("spread"))
     return told.where(~F.coalesce(strange, F.lit(False))).select(*docs.columns)

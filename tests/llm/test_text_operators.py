@@ -453,6 +453,28 @@ def test_languages_are_learned(spark):
     assert language.predict_languages(odd, nothing).where("lang_pred = 'und'").count() == 5
 
 
+def test_all_labelled_documents_teach(spark):
+    """The same words in many documents or in a few of them teach the same."""
+    kinds = "doc_id long, text string, lang string"
+    rare = [(-1 - i, "zigzag quartz", "x") for i in range(3)]
+    many = spark.createDataFrame([(i, "the water is cold", "x") for i in range(6000)] + [(i, "der Wald ist alt", "y") for i in range(40)] + rare, kinds)
+    few = spark.createDataFrame([(i, "the water is cold " * 100, "x") for i in range(60)] + [(1, "der Wald ist alt " * 40, "y")] + rare, kinds)
+    (_, langs, many_prob, _), (_, _, few_prob, _) = language.learn_languages(many), language.learn_languages(few)
+    assert langs == ["x", "y"] and np.allclose(many_prob, few_prob, rtol=1e-9)
+
+
+def test_usual_fit_takes_all_documents(spark):
+    r = np.random.default_rng(2)
+    rows = [("x", "x", float(f), int(n)) for f, n in zip(r.normal(-2, 0.1, 5000), r.integers(1, 90, 5000))]
+    more = [("x", "y", -9.0, 50), ("y", "y", -3.0, 10), ("x", "x", 0.0, 0), (None, "x", -9.0, 50)]
+    told = spark.createDataFrame(rows + more, "lang string, lang_pred string, fit double, fit_bytes long")
+    got = {g["lang"]: g for g in language.usual_fit(told).collect()}
+    fit, n = np.array([x[2] for x in rows]), np.array([x[3] for x in rows])
+    mean = (fit * n).sum() / n.sum()
+    assert set(got) == {"x", "y"} and got["x"].mean == pytest.approx(mean)
+    assert got["x"].spread == pytest.approx(((fit - mean) ** 2 * n).mean())
+
+
 def test_shards_against_a_sorted_list(spark):
     texts = family() + ["hot"] * 60 + [prose(7, 9000)]
     docs = table(spark, texts).unionByName(table(spark, [None, "hot"])).repartition(5)
