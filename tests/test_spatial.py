@@ -87,6 +87,46 @@ def test_knn_visits_few_leaves(spark, monkeypatch):
     print("leaves per query", sum(visits) / 20_000)
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_knn_in_many_columns_sends_a_query_to_few_leaves(spark, monkeypatch, p):
+    rng = np.random.default_rng(8)
+    cols = [f"c{i}" for i in range(9)]
+    pdf = pd.DataFrame(rng.uniform(0, 1, (3000, 9)).round(1), columns=cols).assign(point_id=rng.permutation(3000))
+    asked = pd.DataFrame(rng.uniform(0, 1, (200, 9)).round(1), columns=cols).assign(query_id=np.arange(200))
+    visits, real = [], spatial.meet
+
+    def counted(routed, *rest):
+        met = real(routed, *rest)
+        visits.append((routed.count(), met.count()))
+        return met
+
+    monkeypatch.setattr(spatial, "meet", counted)
+    monkeypatch.setattr(spatial, "LEAF_ROWS", 8)
+    got = knn(spark.createDataFrame(asked), spark.createDataFrame(pdf), cols, 6, p=p).toPandas()
+    pdf = pdf.sort_values("point_id")
+    d = distances(asked[cols].to_numpy(), pdf[cols].to_numpy(), p)
+    order = d.argsort(axis=1, kind="stable")[:, :6]
+    want = {(q, r + 1): (int(pdf["point_id"].iloc[order[q, r]]), d[q, order[q, r]]) for q in range(200) for r in range(6)}
+    assert {(r.query_id, r.rank): (r.point_id, r.dist) for r in got.itertuples()} == want
+    # leaves of 8 rows would be hundreds; and a visit returns only what lies as near as the neighbours found at home
+    assert visits[1][0] < 100 * 200 and visits[1][1] < 0.5 * 6 * visits[1][0]
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_nearest_rows_keeps_ties_and_reach(p):
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 4, (60, 6)).astype(float), rng.integers(0, 4, (1500, 6)).astype(float)
+    y[7] = np.nan
+    d = np.nan_to_num(distances(x, y, p), nan=np.inf)
+    kth = np.partition(d, 4, axis=1)[:, 4]
+    for reach in (None, kth, np.full(60, np.nan), kth * 0.9):
+        i, j, near = spatial.nearest_rows(x, y, 5, p, reach)
+        assert np.array_equal(near, d[i, j])
+        limit = kth if reach is None else np.fmin(kth, reach)
+        assert {(a, b) for a, b in zip(*np.nonzero(d <= limit[:, None]))} <= set(zip(i, j))
+        assert len(set(zip(i, j))) == len(i)
+
+
 def test_knn_with_fewer_points_than_neighbours(spark):
     pts = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "point_id long, x double")
     q = spark.createDataFrame([(1, 0.9), (2, 9.0)], "query_id long, x double")
