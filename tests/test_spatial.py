@@ -226,6 +226,24 @@ def test_silhouette_blocks_agree(spark):
     assert one.loc[one["cluster"] == 9, "s"].tolist() == [0.0]
 
 
+def test_silhouette_measures_a_pair_once(spark, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), metrics.distances
+
+    def counted(a, b, p=2):
+        seen.add(len(a) * len(b))
+        return real(a, b, p)
+
+    pdf = points(300, seed=5)
+    pdf["cluster"] = (pdf["x"] * 3).astype(int)
+    d, c = real(pdf[COLS].to_numpy(), pdf[COLS].to_numpy()), pdf["cluster"].to_numpy()
+    monkeypatch.setattr(metrics, "distances", counted)
+    got = metrics.silhouette_points(spark.createDataFrame(pdf), COLS, "id", block_rows=20).toPandas().set_index("id")
+    assert 300 * 300 / 2 <= seen.value < 0.7 * 300 * 300
+    for i, key in enumerate(pdf["id"]):
+        a = d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        assert got.loc[key, "a"] == pytest.approx(a) and got.loc[key, "b"] == pytest.approx(min(d[i, c == o].mean() for o in set(c) - {c[i]}))
+
+
 def test_components_on_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(300, 200)]
     v = spark.createDataFrame([(i,) for i in {x for e in edges for x in e} | {999}], "v long")
