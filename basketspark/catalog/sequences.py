@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..functions import stable
+from ..functions import stable, stored
 from ..operators.sequences import build, mining, report
 from ..operators.sequences import pattern as P
 from ..sources.io import bought
@@ -31,7 +31,7 @@ def _kept(s, d, n=MIN_BASKETS):
 
 
 def _occ(s, d, order="time", n=MIN_BASKETS):
-    return stable(build.occurrences(_kept(s, d, n), "prod_descr", order))
+    return stored(build.occurrences(_kept(s, d, n), "prod_descr", order))
 
 
 def _text(df, *cols):
@@ -155,7 +155,7 @@ def _brand_occ(s, d):
     brands = table(s, d, "part").select(
         F.col("p_partkey").cast("string").alias("prod_id"), F.col("p_brand").alias("brand")
     )
-    return stable(build.occurrences(_kept(s, d).join(brands, "prod_id"), "brand"))
+    return stored(build.occurrences(_kept(s, d).join(brands, "prod_id"), "brand"))
 
 
 def _brands_sql(gap: str) -> str:
@@ -201,11 +201,16 @@ for _name, _kw, _gap in (
         ),
         with_lines(_brands_sql(_gap)),
     )
+
+
+def _pair_supports(s, d):
+    occ = _occ(s, d)
+    return mining.support(mining.pair_counts(occ), occ)
+
+
 _add(
     "pattern_support",
-    lambda s, d: _text(
-        mining.support(mining.pair_counts(_occ(s, d)), _occ(s, d)), "support_count", mining.rnd("support", 6).alias("support")
-    ),
+    lambda s, d: _text(_pair_supports(s, d), "support_count", mining.rnd("support", 6).alias("support")),
     with_lines(
         f""", {OCC}, {ENDS}, c AS (SELECT '[' || a.item || '][' || b.item || ']' AS pattern_text, count(*) AS support_count
 FROM ends a JOIN ends b ON a.seq_id = b.seq_id AND a.lo < b.hi GROUP BY a.item, b.item

@@ -4,6 +4,9 @@ A match is the leftmost one: every element is found at the first event after the
 event. That is a "next occurrence" lookup, done for all candidates and customers of a level at once as
 a running minimum over (sequence, element) groups, linear in lookups and occurrences and safe for a
 customer with very many baskets. The match of a pattern starts from the stored match of its prefix.
+
+Where only supports are asked for, no match is stored: tasks count them over whole sequences
+(:mod:`.counting`). Joins remain for sequences that are too long for one task and for very many patterns.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import MAX_GROUP_ROWS, by_group_size, rnd, scan, stable
+from ...functions import MAX_GROUP_ROWS, by_group_size, rnd, scan, stable, stored
+from . import counting
 from . import pattern as P
 from .build import min_basket_customers, occurrences
 
@@ -35,6 +39,9 @@ class TimeLimits:
     def __bool__(self) -> bool:
         return bool(self.max_span or self.min_gap or self.max_gap)
 
+    def given(self) -> dict[str, timedelta]:
+        return {k: v for k in ("max_span", "min_gap", "max_gap") if (v := getattr(self, k))}
+
     def accept_gap(self, gap: Column) -> Column:
         ok = F.lit(True)
         if self.min_gap:
@@ -173,6 +180,34 @@ def match_patterns(
     return out.select("pattern", "seq_id", "places", "times")
 
 
+def _by_length(occ: DataFrame, max_group_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Occurrences of sequences that one task can hold, and those of longer ones, if there are any."""
+    long = occ.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group_rows).select("seq_id")
+    if long.isEmpty():
+        return occ, None
+    long = stable(long)
+    return occ.join(long, "seq_id", "left_anti"), stable(occ.join(long, "seq_id", "left_semi"))
+
+
+def _counts(
+    patterns: DataFrame, light: DataFrame, heavy: DataFrame | None, limits: TimeLimits, max_group_rows: int
+) -> DataFrame:
+    """(pattern, support_count) of the distinct ``patterns`` that match; the driver sees ``MAX_PATTERNS`` at most."""
+
+    def joined(occ: DataFrame) -> DataFrame:
+        matches = match_patterns(patterns, occ, limits, max_group_rows)
+        return matches.groupBy("pattern").agg(F.count(F.lit(1)).alias("support_count"))
+
+    few = patterns.limit(counting.MAX_PATTERNS + 1).collect()
+    if len(few) > counting.MAX_PATTERNS:
+        return joined(light if heavy is None else light.unionByName(heavy))
+    found = counting.count_in_tasks(light, [r["pattern"] for r in few if r["pattern"]], limits.given())
+    if heavy is None:
+        return found
+    both = found.unionByName(joined(heavy))
+    return both.groupBy("pattern").agg(F.sum("support_count").alias("support_count"))
+
+
 def n_sequences(occ: DataFrame) -> int:
     return occ.agg(F.count_distinct("seq_id")).first()[0]
 
@@ -202,12 +237,11 @@ def support(
     patterns: DataFrame, occ: DataFrame, limits: TimeLimits = TimeLimits(), max_group_rows: int | None = None
 ) -> DataFrame:
     """Support of given patterns; patterns without a match have support 0."""
+    max_rows = max_group_rows or MAX_GROUP_ROWS
     n = n_sequences(occ)
-    counts = match_patterns(patterns, occ, limits, max_group_rows).groupBy("pattern").agg(
-        F.count(F.lit(1)).alias("support_count")
-    )
-    every = patterns.select("pattern").distinct().join(counts, "pattern", "left").na.fill(0, ["support_count"])
-    return _with_support(every, n)
+    every = stable(patterns.select("pattern").distinct())
+    counts = _counts(every, *_by_length(occ, max_rows), limits, max_rows)
+    return _with_support(every.join(counts, "pattern", "left").na.fill(0, ["support_count"]), n)
 
 
 def frequent_items(occ: DataFrame, min_sup: float, compat_rounding: bool = False) -> DataFrame:
@@ -310,9 +344,26 @@ def gsp(
 ) -> DataFrame:
     """All frequent patterns: (pattern, n_items, n_elements, support_count, support).
 
-    Level 1 is unconstrained. The driver sees only whether a level is empty.
+    Level 1 is unconstrained. The driver sees a level's candidates if they are few enough for every task, else only
+    whether there are any.
     """
-    return gsp_matches(occ, min_sup, limits, compat_rounding, max_group_rows)[0]
+    max_rows = max_group_rows or MAX_GROUP_ROWS
+    n = n_sequences(occ)
+    level = stable(frequent_items(occ, min_sup, compat_rounding))
+    result = level
+    items = level.select(F.col("pattern")[0][0].alias("item"))
+    occ = stored(occ.join(items, "item", "left_semi").select("seq_id", "pos", "ts", "item"))
+    # unconstrained pair support bounds the constrained one, so rare pairs are never matched
+    cands = stable(_with_support(pair_counts(occ), n).where(_threshold(min_sup, compat_rounding)))
+    if cands.isEmpty():
+        return result
+    light, heavy = _by_length(occ, max_rows)
+    while not cands.isEmpty():
+        counts = _counts(cands.select("pattern"), light, heavy, limits, max_rows)
+        level = stable(_with_support(counts, n).where(_threshold(min_sup, compat_rounding)))
+        result = result.unionByName(level)
+        cands = stable(prune(candidates(level), level, bool(limits)))
+    return result
 
 
 # ---- sweeps ---------------------------------------------------------------------------------------

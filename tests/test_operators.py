@@ -4,7 +4,9 @@ import ast
 import random
 from datetime import datetime, timedelta
 from decimal import Decimal
+from itertools import pairwise
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +281,46 @@ def test_sources_and_pattern_store(spark, tmp_path):
     io.append_run_metrics(spark, metrics, 10, 0.5, 1.5, found)
     io.append_run_metrics(spark, metrics, 10, 0.5, 1.5, found)
     assert spark.read.parquet(metrics).count() == 2
+
+
+def test_supports_counted_in_tasks_equal_joined_ones(spark, monkeypatch):
+    r = random.Random(7)
+    events = []
+    for seq in [*range(40), None]:
+        # times fall now and then, and some are missing
+        days = [r.choice([None, *range(30)]) if r.random() < 0.2 else 2 * p for p in range(r.randint(1, 12))]
+        events += [
+            (seq, p, None if d is None else day(d), r.sample("abcde", r.randint(1, 4))) for p, d in enumerate(days)
+        ]
+    schema = "seq_id long, pos long, ts timestamp_ntz, items array<string>"
+    occ = build.from_events(spark.createDataFrame(events, schema)).cache()
+    element = lambda: sorted(r.sample("abcdex", r.choice([1, 1, 2, 3])))
+    pats = [([element() for _ in range(r.randint(1, 4))],) for _ in range(150)] + [([["a"], [None]],), ([[None]],)]
+    pats = spark.createDataFrame(pats, "pattern array<array<string>>")
+    monkeypatch.setattr(mining.counting, "_ROWS", 50)
+    monkeypatch.setattr(mining.counting, "_STEPS", 7)
+    every = [{}, {"min_gap": timedelta(days=3)}, {"max_gap": timedelta(days=5), "max_span": timedelta(days=9)}]
+    for limits in every:
+        limits = mining.TimeLimits(**limits)
+        want = mining.match_patterns(pats, occ, limits).groupBy("pattern").count().collect()
+        want = {str(x["pattern"]): x["count"] for x in want}
+        assert len(want) > 50
+        for longest in (None, 12):  # with 12, sequences of more occurrences are joined
+            got = mining.support(pats, occ, limits, longest).collect()
+            assert {str(x["pattern"]): x["support_count"] for x in got if x["support_count"]} == want
+            assert len(got) == pats.distinct().count()
+    # blocks of whole sequences, whatever the size of what arrives
+    ids = [0] * 70 + [1] * 3 + [2] * 200 + [None] * 60
+    batch = pa.table({"seq_id": pa.array(ids, pa.int64())}).to_batches(max_chunksize=20)
+    blocks = [t["seq_id"].to_pylist() for t, _ in mining.counting._blocks(batch)]
+    assert sum(blocks, []) == ids and len(blocks) > 2 and not any(set(a) & set(b) for a, b in pairwise(blocks))
+
+
+def test_supports_write_no_matches(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("matches were stored")
+
+    monkeypatch.setattr(mining, "_advance", refuse)
+    assert mining.gsp(occ_of(spark, DB), 0.4).count() == len(all_patterns(DB, 2))
+    occ = occ_of(spark, DB)
+    assert mining.support(mining.pair_counts(occ), occ).where("support_count = 0").count() == 0
