@@ -251,3 +251,28 @@ def test_components_on_chain_and_star(spark):
     got = {r["v"]: r["root"] for r in connected_components(v, e).collect()}
     for n, root in got.items():
         assert root == (1 if n <= 60 else 100 if n < 200 else 200 if n in (200, 300) else 999)
+
+
+def test_dense_points_are_settled_without_meeting_other_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": range(1500), "x": rng.uniform(0, 1, 1500), "y": rng.uniform(0, 1, 1500)})
+    df = spark.createDataFrame(pdf)
+    met, pairs = [], []
+    meet, touching = density.meet, density._touching_leaves
+
+    def counted_meet(routed, *rest):
+        met.append(routed.count())
+        return meet(routed, *rest)
+
+    def counted_pairs(*args):
+        found = touching(*args)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(density, "meet", counted_meet)
+    monkeypatch.setattr(density, "_touching_leaves", counted_pairs)
+    got = density.dbscan(df, ["x", "y"], 0.2, 4, key="id", leaf_rows=20)
+    assert {r["cluster"] for r in got.collect()} == {0}
+    density.single_linkage(df, ["x", "y"], 0.2, key="id", leaf_rows=20).collect()
+    # some 100 leaves, each within reach of a dozen or more
+    assert max(met) < 100 and max(pairs) == 0
