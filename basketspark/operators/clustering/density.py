@@ -25,6 +25,7 @@ from ..spatial import (
     distances,
     knn,
     meet,
+    nearest_rows,
     route,
 )
 
@@ -354,30 +355,35 @@ def optics(
     index = position_index(df, cols, key, leaf_rows)
     pts = df.select(F.col(key).alias("point_id"), *[F.col(c).cast("double").alias(c) for c in cols])
     spots = index.points.select(F.col("pid").alias("query_id"), *cols)
-    kth = knn(spots, pts, cols, neighbors + 1, leaf_rows=leaf_rows).where(
-        (F.col("rank") == neighbors + 1) & (F.col("dist") <= radius)
-    )
+    near = stable(knn(spots, pts, cols, neighbors + 1, leaf_rows=leaf_rows))
+    kth = near.where((F.col("rank") == neighbors + 1) & (F.col("dist") <= radius))
     cores = stable(
         index.points.join(kth.select(F.col("query_id").alias("pid"), F.col("dist").alias("core_dist")), "pid")
     )
 
+    # no point farther away than the value that the nearest neighbours give can lower it
+    held = pts.join(cores.select(F.col("pid").alias("core"), "core_dist", "w", *cols), cols).select("point_id", "core", "core_dist", "w")
+    sure = near.join(held, "point_id").where((F.col("core") != F.col("query_id")) | (F.col("w") > 1)).where(F.col("dist") <= radius)
+    sure = sure.groupBy(F.col("query_id").alias("pid")).agg(F.min(F.greatest("dist", "core_dist")).alias("_within"))
+    asked = index.points.select("pid", *cols).join(sure, "pid", "left")
+    asked = stable(asked.withColumn("_within", F.coalesce("_within", F.lit(float(radius)))))
+
     def reach(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         px, cd, ids, w = (p[cols].to_numpy(dtype=float), *(p[c].to_numpy() for c in ("core_dist", "pid", "w")))
         out = []
-        for part in _chunks(q, len(px)):
-            if not len(px):
-                break
-            d = distances(part[cols].to_numpy(dtype=float), px)
-            itself = (part["pid"].to_numpy()[:, None] == ids[None]) & (w[None] < 2)
-            r = np.where((d <= radius) & ~itself, np.maximum(d, cd[None]), np.inf).min(axis=1)
-            out.append(pd.DataFrame({"pid": part["pid"], "reachability": r})[np.isfinite(r)])
+        for s in range(0, len(q) if len(px) else 0, 2048):
+            part = q.iloc[s : s + 2048]
+            own = part["pid"].to_numpy()
+            i, j, d = nearest_rows(part[cols].to_numpy(dtype=float), px, 1, reach=part["_within"].to_numpy(dtype=float))
+            other = (own[i] != ids[j]) | (w[j] > 1)
+            out.append(pd.DataFrame({"pid": own[i], "reachability": np.maximum(d, cd[j])})[other].groupby("pid", as_index=False).min())
         return pd.concat(out) if out else pd.DataFrame({"pid": [], "reachability": []})
 
     boxes = box_table(cores, cols)
     labels = dbscan(df, cols, radius, neighbors + 1, key, index=index)
     at = index.points.select("pid", *cols).join(cores.select("pid", "core_dist"), "pid", "left")
     if len(boxes.leaf):
-        met = meet(route(index.points.select("pid", *cols), cols, boxes, radius=radius), cores, reach, "pid long, reachability double")
+        met = meet(route(asked, cols, boxes, radius="_within"), cores, reach, "pid long, reachability double")
         at = at.join(met.groupBy("pid").agg(F.min("reachability").alias("reachability")), "pid", "left")
     else:
         at = at.withColumn("reachability", F.lit(None).cast("double"))

@@ -238,14 +238,14 @@ def route(
     boxes: Boxes,
     p: int = 2,
     *,
-    radius: float | None = None,
+    radius: float | str | None = None,
     k: int | None = None,
     foreign: str | None = None,
     home: bool = False,
 ) -> DataFrame:
     """Repeat each query for every leaf it has to visit, as column ``to_leaf``.
 
-    ``radius`` visits the boxes within it. ``home`` visits the nearest box only. ``k`` is for queries that have been
+    ``radius``, a number or the column that holds a query's own, visits the boxes within it. ``home`` visits the nearest box only. ``k`` is for queries that have been
     home: they carry ``_home``, which is not visited again, and the distance ``_reach`` of their k-th neighbour there;
     where that is null, the boxes that surely hold k points bound it. ``foreign`` names a group column: the nearest
     point of another group is wanted, and boxes known to hold only the query's group are passed over.
@@ -260,7 +260,7 @@ def route(
                 x = part[cols].to_numpy(dtype=float)
                 near = boxes.near(x, p)
                 if radius is not None:
-                    go = near <= radius * _WIDER
+                    go = near <= (part[radius].to_numpy(dtype=float)[:, None] if isinstance(radius, str) else radius) * _WIDER
                 elif home:
                     go = np.zeros(near.shape, dtype=bool)
                     if go.size:

@@ -276,3 +276,18 @@ def test_dense_points_are_settled_without_meeting_other_leaves(spark, monkeypatc
     density.single_linkage(df, ["x", "y"], 0.2, key="id", leaf_rows=20).collect()
     # some 100 leaves, each within reach of a dozen or more
     assert max(met) < 100 and max(pairs) == 0
+
+
+def test_reachability_visits_only_leaves_that_can_lower_it(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"id": range(1500), "x": rng.uniform(0, 1, 1500), "y": rng.uniform(0, 1, 1500)})
+    met, meet = [], density.meet
+
+    def counted(routed, *rest):
+        met.append(routed.count())
+        return meet(routed, *rest)
+
+    monkeypatch.setattr(density, "meet", counted)
+    got = density.optics(spark.createDataFrame(pdf), ["x", "y"], 0.2, 4, key="id", leaf_rows=20).toPandas()
+    assert len(got) == 1500 and got["reachability"].notna().all()
+    assert max(met) < 6 * 1500
