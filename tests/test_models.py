@@ -147,6 +147,23 @@ def test_grid_searches(noisy):
         models.svm_grid_search(noisy, COLS, [0.0, 1.0])
 
 
+@pytest.mark.parametrize("weights", [None, {0: 0.1, 1: 0.3, 2: 0.6}])
+def test_tree_grid_fits_one_tree_for_all_depths(noisy, monkeypatch, weights):
+    grid = {"impurity": ["gini", "entropy"], "maxDepth": [1, 3, 6, 12]}
+    fits, fit = [], models.DecisionTreeClassifier._fit
+    monkeypatch.setattr(models.DecisionTreeClassifier, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    _, out = models.grid_search(noisy, COLS, "decision_tree", grid, weights)
+    assert len(fits) == 2 * 3 + 1  # impurities, folds, and the best on all rows
+    data = models.assemble(models.add_weights(models.stratified_folds(noisy), weights), COLS).cache()
+    judge = models.MulticlassClassificationEvaluator(metricName="accuracy")
+    for impurity in grid["impurity"]:
+        for depth in grid["maxDepth"]:
+            tree = models.DecisionTreeClassifier(weightCol="weight", seed=22, impurity=impurity, maxDepth=depth)
+            each = [judge.evaluate(tree.fit(data.where(f"fold != {f}")).transform(data.where(f"fold = {f}"))) for f in range(3)]
+            got = out.where(f"setting = 'impurity={impurity}, maxDepth={depth}'").first().accuracy
+            assert got == pytest.approx(sum(each) / 3, abs=1e-12)
+
+
 def test_knn_grid_equals_loop(noisy):
     df = models.stratified_folds(noisy)
     rows = df.collect()
