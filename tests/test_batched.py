@@ -83,3 +83,28 @@ def test_grid_of_density_clusters(spark, leaf_rows):
         # the same groups, border points included; only the names differ
         assert all((a == -1) == (b == -1) and names.setdefault(a, b) == b for a, b in zip(got, want))
         assert len(set(names.values())) == len(names)
+
+
+def test_passes_read_held_arrays_in_as_many_parts_as_cores(spark, blobs, monkeypatch):
+    seen, plain = [], type(blobs).mapInPandas
+    monkeypatch.setattr(type(blobs), "mapInPandas", lambda self, *args, **named: seen.append(1) or plain(self, *args, **named))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        points = batched.spread_points(blobs, COLS, "customer_id")
+        fits = batched.kmeans_many(blobs, [(COLS, 3), (["x"], 2)], n_init=3, points=points)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(seen) == 1 and points.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sum(len(x) for _, x in points.collect()) == blobs.count()
+    collected = [f.sse for f in fits]
+    monkeypatch.setattr(batched, "COLLECTED", 0)
+    assert [f.sse for f in batched.kmeans_many(blobs, [(COLS, 3), (["x"], 2)], n_init=3, points=points)] == pytest.approx(collected)
+
+
+def test_nearest_takes_the_first_on_ties():
+    r = np.random.default_rng(1)
+    x, centres = r.integers(0, 3, (50, 2)).astype(float), r.integers(0, 3, (4, 5, 2)).astype(float)
+    d = ((x[:, None, None] - centres[None]) ** 2).sum(axis=3)
+    label, best = batched._nearest(x, centres)
+    assert (label == d.argmin(axis=2)).all() and (best == d.min(axis=2)).all()
