@@ -82,6 +82,34 @@ def test_evolution_never_loses_its_best(blobs):
     assert runs[1][2] == pytest.approx(d.min(axis=1).sum())
 
 
+def test_evolution_equals_loop_without_a_query_for_each_generation(blobs, monkeypatch):
+    seen, plain = [], type(blobs).mapInPandas
+    monkeypatch.setattr(type(blobs), "mapInPandas", lambda self, *args, **named: seen.append(1) or plain(self, *args, **named))
+    _, centres, sse = partition.evolve_centres(blobs, COLS, 3, population=12, generations=6)
+    assert len(seen) == 1
+    x = np.array(blobs.select(*COLS).collect())
+    lo, hi, rng = x.min(axis=0), x.max(axis=0), np.random.default_rng(22)
+
+    def score(pop):
+        return np.array([((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum() for c in pop])
+
+    n = 3 * len(COLS)
+    pop = rng.uniform(lo, hi, size=(12, 3, len(COLS)))
+    fitness = score(pop)
+    for _ in range(6):
+        a, b = rng.integers(0, 12, (2, 2, 12))
+        one, two = (np.where(fitness[p[0]] < fitness[p[1]], p[0], p[1]) for p in (a, b))
+        head = np.arange(n)[None] < rng.integers(1, n, 12)[:, None]
+        children = np.where(head, pop.reshape(12, -1)[one], pop.reshape(12, -1)[two])
+        at = rng.integers(0, n, 12)
+        children[np.arange(12), at] = rng.uniform(lo[at % len(COLS)], hi[at % len(COLS)])
+        both = np.concatenate([pop, children.reshape(pop.shape)])
+        scores = np.concatenate([fitness, score(both[12:])])
+        keep = np.argsort(scores, kind="stable")[:12]
+        pop, fitness = both[keep], scores[keep]
+    assert sse == pytest.approx(fitness.min()) and np.allclose(centres, pop[fitness.argmin()])
+
+
 @pytest.fixture(scope="module")
 def noisy(spark):
     """The groups again, wider and of unequal size, with a few wrong labels."""
