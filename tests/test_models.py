@@ -161,6 +161,13 @@ def test_kernel_machine_and_network(noisy):
     assert losses[-1] < losses[0] and accuracy(models.predict(model, test)) > 0.8
 
 
+def test_network_is_trained_on_all_cores(spark, noisy, monkeypatch):
+    seen, plain = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
+    models.mlp(noisy.coalesce(1), ["x", "y"], hidden=(4,), max_iter=3)
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
 def test_grid_searches(noisy):
     model, out = models.grid_search(noisy, COLS, "decision_tree", {"impurity": ["gini", "entropy"], "maxDepth": [1, 4]})
     rows = out.collect()
