@@ -27,6 +27,7 @@ QUERIES_PER_TASK = 20_000
 KNN_LEAVES, KNN_LEAF_ROWS = 32, 1 << 17
 _FAN_OUT = 8
 _CELLS = 4_000_000
+_BOX_CELLS = 1 << 20  # gaps between rows and boxes that are worked on at a time, over all columns
 _PAIRS = 1 << 16  # distances worked on at a time, so that they stay in a core's cache
 _BLOCK = 256  # points of a leaf that are passed over together
 # slack so that box tests never lose a point to rounding; exact tests follow on the points
@@ -45,20 +46,36 @@ class Boxes:
 
     def near(self, x: np.ndarray, p: int) -> np.ndarray:
         """Smallest possible distance from each row of ``x`` to each box."""
-        gap = np.maximum(np.maximum(self.lo[None] - x[:, None], x[:, None] - self.hi[None]), 0.0)
-        return _length(gap, p)
+
+        def gap(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            out = lo - v
+            return np.maximum(np.maximum(out, v - hi, out=out), 0.0, out=out)
+
+        return self._summed(x, p, gap)
 
     def far(self, x: np.ndarray, p: int) -> np.ndarray:
         """Largest possible distance from each row of ``x`` to each box."""
-        gap = np.maximum(np.abs(x[:, None] - self.lo[None]), np.abs(x[:, None] - self.hi[None]))
-        return _length(gap, p)
+
+        def gap(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            out = np.abs(v - lo)
+            return np.maximum(out, np.abs(v - hi), out=out)
+
+        return self._summed(x, p, gap)
+
+    def _summed(self, x: np.ndarray, p: int, gap: Callable[..., np.ndarray]) -> np.ndarray:
+        """Length of the gaps of each row of ``x`` and each box, one column after another."""
+        total = np.zeros((len(x), len(self.lo)))
+        for c in range(x.shape[1]):
+            own = gap(x[:, c, None], self.lo[None, :, c], self.hi[None, :, c])
+            total += own if p == 1 else np.multiply(own, own, out=own)
+        return total if p == 1 else np.sqrt(total, out=total)
 
     def some(self, which: np.ndarray) -> Boxes:
         extra = {name: values[which] for name, values in self.extra.items()}
         return Boxes(self.leaf[which], self.lo[which], self.hi[which], self.rows[which], extra)
 
     def row_chunk(self) -> int:
-        return max(1, _CELLS // max(1, self.lo.size))
+        return max(1, _BOX_CELLS // max(1, self.lo.size))
 
 
 @dataclass
@@ -70,10 +87,6 @@ class Index:
     boxes: Boxes
 
 
-def _length(gap: np.ndarray, p: int) -> np.ndarray:
-    return np.abs(gap).sum(axis=-1) if p == 1 else np.sqrt((gap * gap).sum(axis=-1))
-
-
 def _add_columns(total: np.ndarray, a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     """Add what the columns of ``a`` and ``b`` put to the distances, squared for ``p`` of 2, one column after another."""
     diff = np.empty_like(total)

@@ -1,5 +1,7 @@
 """Index, nearest neighbours and density clusters against brute force on small, skewed data."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -291,3 +293,18 @@ def test_reachability_visits_only_leaves_that_can_lower_it(spark, monkeypatch):
     got = density.optics(spark.createDataFrame(pdf), ["x", "y"], 0.2, 4, key="id", leaf_rows=20).toPandas()
     assert len(got) == 1500 and got["reachability"].notna().all()
     assert max(met) < 6 * 1500
+
+
+def test_gaps_to_boxes_take_little_memory():
+    r = np.random.default_rng(3)
+    lo = r.random((40_000, 3))
+    boxes = spatial.Boxes(np.arange(len(lo)), lo, lo + 0.01, np.full(len(lo), 64))
+    x = r.random((boxes.row_chunk(), 3))
+    tracemalloc.start()
+    near, far = boxes.near(x, 2), boxes.far(x, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gap = np.maximum(np.maximum(lo[None] - x[:, None], x[:, None] - lo[None] - 0.01), 0)
+    wide = np.maximum(np.abs(x[:, None] - lo[None]), np.abs(x[:, None] - lo[None] - 0.01))
+    assert np.allclose(near, np.sqrt((gap**2).sum(axis=2))) and np.allclose(far, np.sqrt((wide**2).sum(axis=2)))
+    assert most < 30e6
