@@ -252,7 +252,8 @@ def kmeans_many(
     out = []
     for g, (own, k), t in zip(groups, settings, _split(_pass(points, groups, _sums, width), groups)):
         sse = t[..., 1].sum(axis=1)
-        best = int(sse.argmin())
+        # starts that end in the same clusters differ in rounding only: the first of them, however sums were added
+        best = int((sse <= sse.min() * (1 + 1e-9)).argmax())
         out.append(Fit(own, k, [[float(v) for v in m] for m in g.centres[best]], float(sse[best])))
     return out
 
