@@ -7,7 +7,7 @@ and a cluster takes part once its best exact distance beats every centroid not l
 clusters, a fixed number, are finished on a small table.
 
 Single linkage is the minimum spanning tree, grown by joining every component to its nearest foreign
-point in each round.
+point in each round (see ``forest``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ...functions import number_rows, stable
 from ..graph import connected_components
-from ..spatial import _CELLS, box_table, build_index, distances, knn, meet, route
+from ..spatial import build_index, distances, knn
+from .forest import spanning_forest
 
 FINISH_CLUSTERS = 256
 CHUNK_ROWS = 256
@@ -174,47 +175,10 @@ def single_linkage_tree(
     cols, p = list(cols), {"euclidean": 2, "manhattan": 1}[metric]
     spots, copies = _positions(df, cols, key)
     index = build_index(spots, cols, leaf_rows)
-    points = stable(index.points.withColumn("comp", F.col("pid")))
+    points = index.points.select(F.lit(0).alias("m"), "pid", "leaf", *cols, F.lit(0.0).alias("cd"))
+    found = spanning_forest(points, index.boxes, cols, p)
     tree = copies.select("left", "right", "height")
-    only = F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(F.lit(-1))
-
-    def closest(q: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
-        px, ids, comp = pts[cols].to_numpy(dtype=float), pts["pid"].to_numpy(), pts["comp"].to_numpy()
-        out = []
-        step = max(1, _CELLS // max(1, len(px)))
-        for s in range(0, len(q), step):
-            part = q.iloc[s : s + step]
-            if not len(px):
-                break
-            d = distances(part[cols].to_numpy(dtype=float), px, p)
-            d[part["comp"].to_numpy()[:, None] == comp[None]] = np.inf
-            low = d.min(axis=1)
-            # the smallest pid among the closest, which keeps the edge order total
-            j = np.where(d == low[:, None], ids[None], np.iinfo("int64").max).argmin(axis=1)
-            found = pd.DataFrame(
-                {"comp": part["comp"], "pid": part["pid"], "other": ids[j], "to_comp": comp[j], "d": low}
-            )
-            out.append(found[np.isfinite(low)])
-        empty = {c: [] for c in ("comp", "pid", "other", "to_comp", "d")}
-        return pd.concat(out) if out else pd.DataFrame(empty)
-
-    while True:
-        boxes = box_table(points, cols, {"only": only})
-        names = points.agg(F.min("comp"), F.max("comp")).first()
-        if names[0] == names[1]:
-            return stable(tree)
-        routed = route(points.select("pid", "comp", *cols), cols, boxes, p, foreign="comp")
-        met = meet(routed, points.select("pid", "leaf", *cols, F.col("comp")), closest, "comp long, pid long, other long, to_comp long, d double")
-        edge = F.struct(
-            "d", F.least("pid", "other").alias("left"), F.greatest("pid", "other").alias("right"), "to_comp"
-        )
-        best = stable(met.groupBy("comp").agg(F.min(edge).alias("e")).select("comp", "e.*"))
-        tree = tree.unionByName(best.select("left", "right", F.col("d").alias("height")).distinct())
-        links = best.select(F.col("comp").alias("u"), F.col("to_comp").alias("v"))
-        roots = connected_components(points.select(F.col("comp").alias("v")).distinct(), links)
-        points = stable(
-            points.join(roots.withColumnRenamed("v", "comp"), "comp").drop("comp").withColumnRenamed("root", "comp")
-        )
+    return stable(tree.unionByName(found.select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("w").alias("height"))))
 
 
 def last_merges(merges: DataFrame, n: int) -> DataFrame:

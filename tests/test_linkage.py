@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from basketspark.operators.clustering import density, linkage
+from basketspark.operators.clustering import density, forest, linkage
 from basketspark.operators.spatial import distances
 
 COLS = ["x", "y"]
@@ -71,3 +71,36 @@ def test_single_linkage_tree(spark):
     for h, n in cuts.items():
         assert n == density.single_linkage(df, COLS, h, key="id").select("cluster").distinct().count()
     assert linkage.last_merges(tree, 3).count() == 3
+
+
+def least_tree(pdf):
+    """Links of the spanning tree by (length, smaller id, larger id)."""
+    ids, d = pdf["id"].to_numpy(), distances(pdf[COLS].to_numpy(), pdf[COLS].to_numpy())
+    links = sorted((d[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(ids)) for j in range(i))
+    root, out = {i: i for i in ids}, set()
+    for w, a, b in links:
+        ra, rb = root[a], root[b]
+        if ra != rb:
+            root = {k: ra if v == rb else v for k, v in root.items()}
+            out.add((int(a), int(b), float(w)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 50_000])
+def test_single_linkage_tree_with_ties_across_leaves(spark, monkeypatch, limit):
+    monkeypatch.setattr(forest, "COLLECTED_LINKS", limit)
+    rng = np.random.default_rng(5)
+    xy = np.unique(np.concatenate([rng.integers(0, 9, (90, 2)), rng.integers(40, 44, (20, 2)), [[100, 0]]]), axis=0)
+    pdf = pd.DataFrame({"id": rng.permutation(len(xy)), "x": xy[:, 0] / 7, "y": xy[:, 1] / 7})
+    tree = linkage.single_linkage_tree(spark.createDataFrame(pdf), COLS, key="id", leaf_rows=5).collect()
+    assert {(r["left"], r["right"], r["height"]) for r in tree} == least_tree(pdf)
+
+
+def test_single_linkage_tree_sends_few_points_to_other_leaves(spark, monkeypatch):
+    sent, plain = [], forest.meet
+    monkeypatch.setattr(forest, "meet", lambda routed, *rest: sent.append(routed.count()) or plain(routed, *rest))
+    xy = np.random.default_rng(8).random((1500, 2))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xy)], "id long, x double, y double")
+    assert linkage.single_linkage_tree(df, COLS, key="id", leaf_rows=100).count() == 1499
+    # every point went to several leaves in every round
+    assert len(sent) < 9 and max(sent) < 750
