@@ -7,6 +7,7 @@ import pytest
 
 from basketspark.operators.classify import models, neighbours
 from basketspark.operators.clustering import metrics, partition
+from basketspark.operators.spatial import _blocks
 
 COLS = ["x", "y"]
 MIDDLES = np.array([[0.1, 0.1], [0.8, 0.2], [0.4, 0.9]])
@@ -219,3 +220,25 @@ def test_knn_grid_equals_loop(noisy):
                 votes[label] += 1 if weights == "uniform" else 1 / d
             hits += min(votes, key=lambda c: (-votes[c], c)) == a.label
         assert value == pytest.approx(hits / len(rows), abs=1e-6)
+
+
+def test_evolution_measures_only_points_between_centres():
+    r = np.random.default_rng(3)
+    x, candidates = r.random((4000, 3)), r.random((30, 4, 3))
+    rows = _blocks(x, 64)
+    mean = np.array([x[b].mean(axis=0) for b in rows])
+    cells = partition._Cells(
+        np.array([float(len(b)) for b in rows]),
+        mean,
+        np.array([((x[b] - m) ** 2).sum() for b, m in zip(rows, mean)]),
+        np.array([x[b].min(axis=0) for b in rows]),
+        np.array([x[b].max(axis=0) for b in rows]),
+    )
+    want = ((x[None, :, None] - candidates[:, None]) ** 2).sum(axis=3).min(axis=2).sum(axis=1)
+    total, open_, low = cells.errors(candidates)
+    cell, asked = np.nonzero(open_.T)
+    first = np.searchsorted(cell, np.arange(len(rows) + 1))
+    rest = partition._open_errors(((i, x[b]) for i, b in enumerate(rows)), candidates, first, asked)
+    assert np.allclose(np.where(open_, 0, total).sum(axis=1) + rest, want)
+    assert (low.sum(axis=1) <= want).all() and (cells.coarse(16).errors(candidates)[2].sum(axis=1) <= want).all()
+    assert 0 < open_.mean() < 0.7 and len(cells.coarse(16).n) <= 16
