@@ -108,3 +108,17 @@ def test_nearest_takes_the_first_on_ties():
     d = ((x[:, None, None] - centres[None]) ** 2).sum(axis=3)
     label, best = batched._nearest(x, centres)
     assert (label == d.argmin(axis=2)).all() and (best == d.min(axis=2)).all()
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_means_of_all_starts_at_once_equal_the_slow_ones(far):
+    r = np.random.default_rng(2)
+    x, centres = r.random((3, 400)) + far, r.random((6, 5, 3)) + far
+    centres[1, 3] = centres[1, 2]  # a centre twice: the first one takes all points
+    centres[2] = x[:, :5].T
+    g = batched._Group(0, np.arange(3), np.arange(6, dtype=np.uint64), centres)
+    want, got = batched._sums(x, g), batched._means(x, g)
+    assert (got[..., 0] == want[..., 0]).all() and got[1, 3, 0] == 0
+    assert np.allclose(got[..., 2:], want[..., 2:], rtol=1e-12)
+    g.centres[:] = np.nan
+    assert (batched._means(x, g)[:, 0, 0] == 400).all()
