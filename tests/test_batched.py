@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from basketspark.operators.clustering import batched, density, metrics, partition
+from basketspark.operators.spatial import distances
 
 COLS = ["x", "y", "z"]
 
@@ -122,3 +124,24 @@ def test_means_of_all_starts_at_once_equal_the_slow_ones(far):
     assert np.allclose(got[..., 2:], want[..., 2:], rtol=1e-12)
     g.centres[:] = np.nan
     assert (batched._means(x, g)[:, 0, 0] == 400).all()
+
+
+def test_silhouettes_return_one_number_a_task_and_labelling(spark, blobs, monkeypatch):
+    seen, plain = [], PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, fn, schema: seen.append(schema) or plain(self, fn, schema))
+    monkeypatch.setattr(batched, "SUMS", 40)
+    wide = blobs.withColumn("cluster", (F.col("customer_id") % 3).cast("int"))
+    both = wide.withColumn("labels", F.array("cluster", F.when(F.col("x") < 0.4, 5).otherwise(2)))
+    got = batched.silhouettes(both, COLS, "labels", block_rows=7)
+    # no sums of pairs of blocks are written
+    assert seen == ["l int, s double"]
+    assert got[0] == pytest.approx(metrics.silhouette(wide, COLS).first()["silhouette"], abs=2e-4)
+
+
+def test_lengths_of_close_rows_keep_their_digits():
+    r = np.random.default_rng(3)
+    x = r.random((300, 3)) * 1e3 + 1e6
+    y = np.concatenate([x[:200] + r.normal(0, 1e-4, (200, 3)), x[200:]])
+    assert np.allclose(batched._lengths(y)(x), distances(x, y), rtol=1e-8, atol=0)
+    assert (batched._lengths(x[:1])(x[:1]) == 0).all()
+    assert (batched._lengths(x)(x)[np.arange(300), np.arange(300)] == 0).all()
