@@ -308,3 +308,15 @@ def test_gaps_to_boxes_take_little_memory():
     wide = np.maximum(np.abs(x[:, None] - lo[None]), np.abs(x[:, None] - lo[None] - 0.01))
     assert np.allclose(near, np.sqrt((gap**2).sum(axis=2))) and np.allclose(far, np.sqrt((wide**2).sum(axis=2)))
     assert most < 30e6
+
+
+def test_queries_sent_to_many_leaves_are_not_written(spark, monkeypatch):
+    written, plain = [], spatial.stable
+    monkeypatch.setattr(spatial, "stable", lambda df: written.append(df.columns) or plain(df))
+    at = np.random.default_rng(4).random((400, 6))
+    cols = list("abcdef")
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(at)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    near = spatial.knn(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "point_id"), cols, 3, leaf_rows=20).collect()
+    d = distances(at, at)
+    assert all(r["dist"] == pytest.approx(np.sort(d[r["query_id"]])[r["rank"] - 1]) for r in near) and len(near) == 1200
+    assert not [c for c in written if "_home" in c and "to_leaf" in c]
